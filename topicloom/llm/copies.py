@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.session import written
 
@@ -28,7 +29,7 @@ from topicloom.session import written
 OTHER = r"[^\p{L}\p{M}\p{Nd}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
