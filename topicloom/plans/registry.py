@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.plans import records
+from topicloom.plans import corpora, modelled, records, texts, topical
 
-MODULES = [records]
+MODULES = [records, texts, corpora, topical, modelled]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
