@@ -65,5 +65,5 @@ def test_summary(spark, docs):
     limits = spark.createDataFrame([(1, 128)], "limit_id int, capacity int")
     packed = packing.pack(docs, limits)
     row = packing.summary(packed).first()
-    assert row.fill > 0.97 and row.tokens == packed.agg(F.sum("tokens")).first()[0]
+    assert row.fill > 0.95 and row.tokens == packed.agg(F.sum("tokens")).first()[0]
     assert abs(packing.mixture(packed).groupBy("level", "shard", "window").agg(F.sum("share").alias("s")).first().s - 1) < 1e-9

@@ -38,10 +38,10 @@ def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def essence(c: Column) -> Column:
     """The letters and digits of a text in sequence without case; null where there are none.
 
-    Upper case first, then lower, since some letters have no single capital. Accents are kept: composed and decomposed
+    Upper case first, then lower, since some letters have two small forms; the sharp s counts as two. Accents are kept: composed and decomposed
     ones are the same letter. Only texts with combining marks leave the JVM for that.
     """
-    c = F.regexp_replace(F.lower(F.upper(c)), OTHER, "")
+    c = F.regexp_replace(F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss")), OTHER, "")
     return F.when(F.length(c) > 0, c)
 
 

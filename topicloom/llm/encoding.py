@@ -193,17 +193,46 @@ def repairs() -> list:
     return _REPAIRS
 
 
-#: Where nothing of this kind occurs, a text is sound: two characters beyond ASCII in a row, or one that is never right.
-SUSPECT = re.compile("[^\x00-\x7f]{2}|[\x80-\x9f\ufffd]|[A-Za-z][\u4e00-\u9fff]|[\u4e00-\u9fff][a-z]")
-#: Two usual characters beyond ASCII in a row that no garbling gives.
-CALM = re.compile("[\u4e00-\u9fff，。！？、；：（）《》]+")
+def _classes() -> tuple[str, str]:
+    """All lead and continuation characters of UTF-8 under any of the single-byte encodings, as the insides of classes."""
+    tools = [Single(c) for c in SINGLE]
+    lead = {ch for t in tools for ch, b in t.byte.items() if 0xC2 <= b <= 0xF4}
+    more = {ch for t in tools for ch, b in t.byte.items() if 0x80 <= b <= 0xBF}
+    return "".join(map(re.escape, sorted(lead))), "".join(map(re.escape, sorted(more)))
+
+
+_LEAD, _MORE = _classes()
+_WESTERN = "".join(re.escape(ch) for ch in Single("cp1252").byte if ch not in "“”‘’„…–—«»¿¡")
+#: Where nothing of this kind occurs, a text is sound: a lead before a continuation, four Western characters beyond ASCII
+#: in a row, a character that is never right, or Chinese and Latin letters side by side.
+SUSPECT = re.compile(f"[{_LEAD}][{_MORE}]|[{_WESTERN}]{{4}}|[\x80-\x9f�]")
+BESIDE = re.compile("[A-Za-z][一-鿿]|[一-鿿][a-z]")
+WIDE = re.compile("[^\x00-\x7f]+")
+
+
+def _unusual() -> frozenset:
+    """Characters that Chinese text garbled by a double-byte encoding can't do without: rare ones and other scripts."""
+    wide = (chr(c) for c in range(0x3040, 0xA000) if c < 0x3400 or c >= 0x4E00)
+    return frozenset(ch for ch in wide if weight(ch) > 1)
+
+
+UNUSUAL = _unusual()
 #: Left by garbling that can't be undone: control and replacement characters and sequences that lost their end.
 BROKEN = re.compile("[\x80-\x84\x86-\x9f\ufffd]|â€|Ã[\u0080-\u00bf\u2013-\u20ac\u2122]|(?<![A-ZÀ-Þ])Ã(?=\\s)|ï»¿|ï¿½|Â[\u00a1-\u00bf]|锟斤|鈥|[\u4e00-\u9fff]?[ÃÂ]\x20[\u0080-\u00bf]")
 
 
+def suspect(text: str) -> bool:
+    """Whether a text can be garbled at all, judged by its characters beyond ASCII alone."""
+    runs = WIDE.findall(text)
+    beyond = " ".join(runs)
+    if SUSPECT.search(beyond) or not UNUSUAL.isdisjoint(beyond):
+        return True
+    return any(len(r) < 3 and "\u4e00" <= r[0] <= "\u9fff" for r in runs) and BESIDE.search(text) is not None
+
+
 def repair(text: str | None) -> str | None:
     """The text with every garbled stretch restored that can be."""
-    if not text or text.isascii() or not SUSPECT.search(text):
+    if not text or text.isascii() or not suspect(text):
         return text
     for _ in range(LAYERS):
         best, least = text, cost_beyond(text)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from topicloom.llm.visual import Form, unicode_patterns
 from topicloom.session import ship
@@ -119,12 +120,13 @@ def matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
     kind, item_kind = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"d {kind}, i {item_kind}, words bigint, doc_word bigint, item_word bigint"
     patterns = unicode_patterns()
+    doc_type, item_type = to_arrow_type(docs.schema[doc].dataType), to_arrow_type(items.schema[item].dataType)
 
     def search(block: list[tuple]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             form = Form(patterns)
             tests = TestSet(block, least, form)
-            names = pa.array([b[0] for b in block])
+            names = pa.array([b[0] for b in block], item_type)
             get = tests.number.get
             parts: list[np.ndarray] = []
             docs_, sizes, total = [], [], 0
@@ -135,7 +137,7 @@ def matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, i
                 starts = np.cumsum([0, *sizes[:-1]])
                 which = np.searchsorted(starts, found[:, 1], "right") - 1
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(docs_).take(pa.array(which)), names.take(pa.array(found[:, 0])), pa.array(found[:, 3]), pa.array(found[:, 1] - starts[which]), pa.array(found[:, 2])],
+                    [pa.array(docs_, doc_type).take(pa.array(which)), names.take(pa.array(found[:, 0])), pa.array(found[:, 3]), pa.array(found[:, 1] - starts[which]), pa.array(found[:, 2])],
                     ["d", "i", "words", "doc_word", "item_word"],
                 )
                 parts, docs_, sizes, total = [], [], [], 0

@@ -105,7 +105,7 @@ QUERIES = {
     for f in (p2_found, p2_records, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_restored, p6_found, p6_counts, p7_pack, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)
 }
 
-_ESSENCE = "nullif(regexp_replace(lower(upper({0})), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g'), '')"
+_ESSENCE = "nullif(regexp_replace(replace(lower(upper({0})), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g'), '')"
 _GROUPS = f"""
 WITH e AS (
   SELECT row_id, {_ESSENCE.format('"Title"')} AS t, {_ESSENCE.format('content')} AS c,

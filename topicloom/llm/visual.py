@@ -214,5 +214,10 @@ def same_look_pairs(texts: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def unicode_patterns() -> dict[str, str]:
-    """The rewriting over all of Unicode, without counts: what a form is doesn't depend on a collection then."""
-    return rewriting(dict.fromkeys((c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")), 0))
+    """The rewriting over all of Unicode, without counts: what a form is doesn't depend on a collection then.
+
+    Characters without a decomposition that are neither invisible nor a kind of space stand for themselves, and
+    Korean syllables are left to canonical composition.
+    """
+    chars = map(chr, range(0x110000))
+    return rewriting({ord(ch): 0 for ch in chars if not "가" <= ch <= "힣" and (not unicodedata.is_normalized("NFKD", ch) or invisible(ch) or unicodedata.category(ch) == "Zs" or unicodedata.combining(ch))})
