@@ -165,12 +165,18 @@ def analysis_text(df: DataFrame, text_col: str | None = None, variant: str = "ap
     return df.withColumn("analysis_text", compose(F.col(title) if title else F.lit(""), F.col(content) if content else F.lit("")))
 
 
+def _ten_digits(c: Column) -> Column:
+    """A double in ten significant digits without trailing zeros."""
+    s = F.regexp_replace(F.format_string("%.10g", c), r"(\.[0-9]*?)0+(?=e|$)", "$1")
+    return F.regexp_replace(s, r"\.(?=e|$)", "")
+
+
 def cell_text(df: DataFrame, name: str) -> Column:
     """A cell of any type as text: whole doubles as integers, others in up to ten digits, no NaN; nested values as JSON."""
     c, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, T.DoubleType | T.FloatType):
         whole = (F.abs(c - F.round(c)) < 1e-9) & (F.abs(c) < 1e15)
-        return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "").when(whole, F.round(c).cast("bigint").cast("string")).otherwise(F.format_string("%.10g", c))
+        return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "").when(whole, F.round(c).cast("bigint").cast("string")).otherwise(_ten_digits(c))
     if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
         return F.coalesce(F.to_json(c), F.lit(""))
     if isinstance(kind, T.BinaryType):
