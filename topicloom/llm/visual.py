@@ -120,28 +120,35 @@ def rewriting(counts: dict[int, int]) -> dict[str, str]:
 
 
 class Form:
-    """The rewriting as a function of one text."""
+    """The rewriting as a function of one text.
+
+    A pattern can only match where its last character occurs, so the automaton holds the patterns whose last characters
+    have been met so far, and texts without any of these characters are passed by.
+    """
 
     def __init__(self, patterns: dict[str, str]) -> None:
-        self.machine = None
-        self.ascii = any(p.isascii() for p in patterns)
-        if patterns:
-            self.machine = ahocorasick.Automaton()
-            for pattern, rep in patterns.items():
-                self.machine.add_word(pattern, (len(pattern), rep))
-            self.machine.make_automaton()
+        self.ending: dict[str, list[tuple[str, str]]] = {}
+        for pattern, rep in patterns.items():
+            self.ending.setdefault(pattern[-1], []).append((pattern, rep))
+        self.met: set[str] = set()
+        self.machine = ahocorasick.Automaton()
 
     def __call__(self, text: str) -> str:
-        if text.isascii() and not self.ascii:
-            return text
-        if self.machine is not None:
+        if not self.ending.keys().isdisjoint(text):
+            fresh = {ch for ch in set(text) if ch in self.ending} - self.met
+            if fresh:
+                for ch in fresh:
+                    for pattern, rep in self.ending[ch]:
+                        self.machine.add_word(pattern, (len(pattern), rep))
+                self.machine.make_automaton()
+                self.met |= fresh
             out, at = [], 0
             for end, (size, rep) in self.machine.iter_long(text):
                 out += (text[at : end + 1 - size], rep)
                 at = end + 1
             if at:
                 text = "".join(out) + text[at:]
-        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def count_code_points(texts: DataFrame, text: str = "text") -> dict[int, int]:
