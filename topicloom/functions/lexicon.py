@@ -14,8 +14,7 @@ def zipf_table(tokens: DataFrame) -> DataFrame:
     """(token, n, zipf) over the long form of a collection."""
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    # one row, the size of which is known
-    return counts.join(F.broadcast(total)).select("token", "n", F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6).alias("zipf"))
+    return counts.select("token", "n", F.round(F.log10(F.col("n") * 1e9 / total.scalar()), 6).alias("zipf"))
 
 
 def spelling_index(lexicon: DataFrame, words: int = 80_000) -> DataFrame:

@@ -52,7 +52,7 @@ def high_df_tokens(df: DataFrame, share: float = 0.8, column: str = "tokens") ->
     if not 0 < share < 1:
         return counts.where("false")
     total = df.agg(F.ceil(F.round(F.count(F.lit(1)) * share, 9)).alias("least"))
-    return counts.join(F.broadcast(total)).where("doc_count >= least").select("token", "doc_count")
+    return counts.where(F.col("doc_count") >= total.scalar())
 
 
 def keep_tokens(df: DataFrame, key: str, kept: DataFrame, how: str = "left_semi", column: str = "tokens") -> DataFrame:
@@ -73,9 +73,9 @@ def drop_high_df(df: DataFrame, key: str, share: float = 0.8, column: str = "tok
 def df_limits(df: DataFrame, no_below: int, no_above: float, column: str = "tokens") -> DataFrame:
     """(token, doc_count, mark): ``high`` from ceil(no_above * non-empty documents) on, else ``low`` under no_below."""
     total = df.agg(F.coalesce(F.ceil(F.round(F.count_if(F.size(column) > 0) * no_above, 9)), F.lit(0)).alias("least"))
-    high = F.col("doc_count") >= F.col("least") if 0 < no_above < 1 else F.lit(False)
+    high = F.col("doc_count") >= total.scalar() if 0 < no_above < 1 else F.lit(False)
     low = F.col("doc_count") < no_below if no_below > 1 else F.lit(False)
-    return document_frequency(df, column).join(F.broadcast(total)).select("token", "doc_count", F.when(high, "high").when(low, "low").alias("mark"))
+    return document_frequency(df, column).select("token", "doc_count", F.when(high, "high").when(low, "low").alias("mark"))
 
 
 def academic_filter(df: DataFrame, key: str, no_below: int = 10, no_above: float = 0.6, column: str = "tokens") -> DataFrame:
@@ -86,7 +86,7 @@ def academic_filter(df: DataFrame, key: str, no_below: int = 10, no_above: float
 def filter_extremes(df: DataFrame, no_below: int = 2, no_above: float = 0.9, keep_n: int = 20_000, column: str = "tokens") -> DataFrame:
     """(token, doc_count): tokens in no_below to int(no_above * N) documents, the keep_n most frequent."""
     total = df.agg(F.floor(F.round(F.count(F.lit(1)) * no_above, 9)).alias("most"))
-    rows = document_frequency(df, column).join(F.broadcast(total)).where((F.col("doc_count") >= no_below) & (F.col("doc_count") <= F.col("most")))
+    rows = document_frequency(df, column).where((F.col("doc_count") >= no_below) & (F.col("doc_count") <= total.scalar()))
     return rows.orderBy(F.desc("doc_count"), "token").limit(keep_n).select("token", "doc_count")
 
 
@@ -111,7 +111,7 @@ def report(df: DataFrame, raw: str, column: str = "tokens") -> DataFrame:
     )
     words = df.select(F.explode(column).alias("token")).agg(F.countDistinct("token").alias("vocabulary"))
     average = F.round(F.when(F.col("nonempty_docs") > 0, F.col("tokens") / F.col("nonempty_docs")).otherwise(0.0), 2)
-    return one.join(F.broadcast(words)).withColumn("avg_tokens", average)
+    return one.withColumn("vocabulary", words.scalar()).withColumn("avg_tokens", average)
 
 
 def text_column(df: DataFrame, preferred: list[str] | None = None) -> str:

@@ -37,7 +37,7 @@ def edges(rows: DataFrame, words: DataFrame, least: float = 0.35) -> DataFrame:
     empty; the value is the smaller count times the similarity. Weights of 0 give no edge.
     """
     sets = words.select(F.col("topic_id"), F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))).alias("s"))
-    full = rows.join(F.broadcast(sets), "topic_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    full = rows.join(sets, "topic_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
     a = full.select(F.col("ord").alias("o"), F.col("period").alias("source_period"), F.col("topic_id").alias("source_topic"), F.col("n").alias("c0"), F.col("s").alias("s0"))
     b = full.select((F.col("ord") - 1).alias("o"), F.col("period").alias("target_period"), F.col("topic_id").alias("target_topic"), F.col("n").alias("c1"), F.col("s").alias("s1"))
     empty = (F.size("s0") == 0) | (F.size("s1") == 0)
@@ -50,7 +50,7 @@ def edges(rows: DataFrame, words: DataFrame, least: float = 0.35) -> DataFrame:
 def nodes(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(id, period, topic_id, label): topics of all retained periods but the last, and targets of edges in the last."""
     last = rows.agg(F.max("ord").alias("last"))
-    left = rows.join(F.broadcast(last)).where("ord < last").select("period", "topic_id")
+    left = rows.where(F.col("ord") < last.scalar()).select("period", "topic_id")
     right = links.select(F.col("target_period").alias("period"), F.col("target_topic").alias("topic_id"))
     all_ = left.union(right).distinct()
     label = F.concat(F.date_format("period", "yyyy-MM"), F.lit(" · T"), (F.col("topic_id") + 1).cast("string"))

@@ -35,10 +35,10 @@ def scores(df: DataFrame, key: str, least: int = 5, threshold: float = 10.0, tok
     """(a, b, n, score) above the threshold: (n - least) * |V| / (n_a * n_b), |V| the distinct tokens and pairs."""
     pairs = adjacent(df, key, tokens).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     single = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    size = single.agg(F.count(F.lit(1)).alias("v1")).join(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("v2")))).select((F.col("v1") + F.col("v2")).alias("v"))
+    size = single.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
     rows = pairs.where(F.col("n") >= least).join(single.select(F.col("token").alias("a"), F.col("k").alias("na")), "a").join(single.select(F.col("token").alias("b"), F.col("k").alias("nb")), "b")
-    score = (F.col("n") - least) * F.col("v") / (F.col("na") * F.col("nb"))
-    return rows.join(F.broadcast(size)).withColumn("score", F.round(score.cast("double"), 6)).where(F.col("score") > threshold).select("a", "b", "n", "score")
+    score = (F.col("n") - least) * size / (F.col("na") * F.col("nb"))
+    return rows.withColumn("score", F.round(score.cast("double"), 6)).where(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
 def _merge_once(words: list[str], phrases: set[tuple[str, str]]) -> list[str]:

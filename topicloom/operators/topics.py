@@ -23,14 +23,14 @@ def shares(docs: DataFrame, topic: str = "topic_id") -> DataFrame:
     """(topic_id, n, pct): documents of each topic and their share in percent, 2 decimals."""
     counts = docs.where(F.col(topic) >= 0).groupBy(F.col(topic).alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("topic_id", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("pct"))
+    return counts.select("topic_id", "n", F.round(100.0 * F.col("n") / total.scalar(), 2).alias("pct"))
 
 
 def cumulative_share(counts: DataFrame) -> DataFrame:
     """(topic_id, n, cum_share): the running share of topics from the largest down; one row a topic, so one partition."""
     w = Window.orderBy(F.desc("n"), "topic_id").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.withColumn("run", F.sum("n").over(w)).join(F.broadcast(total)).select("topic_id", "n", F.round(F.col("run") / F.col("total"), 6).alias("cum_share"))
+    return counts.withColumn("run", F.sum("n").over(w)).select("topic_id", "n", F.round(F.col("run") / total.scalar(), 6).alias("cum_share"))
 
 
 def argmax(vector: Column) -> Column:
@@ -179,5 +179,5 @@ def attached(df: DataFrame, key: str, assigned: DataFrame, names: DataFrame, top
     """Input rows with their topic: id, name, score and first three words; rows without text get -1 and a name that says so."""
     three = tops.where("rank <= 3").groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("l")).select("topic_id", F.array_join("l.word", ", ").alias("top3_words"))
     rows = df.join(assigned.select(F.col(key), F.col("topic_id"), F.col("score")), key, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
-    rows = rows.join(F.broadcast(names.select("topic_id", F.col("short_name").alias("topic_name"))), "topic_id", "left").join(F.broadcast(three), "topic_id", "left")
+    rows = rows.join(names.select("topic_id", F.col("short_name").alias("topic_name")), "topic_id", "left").join(three, "topic_id", "left")
     return rows.withColumn("topic_name", F.when(F.col("topic_id") < 0, EMPTY_NAME).otherwise(F.col("topic_name")))

@@ -53,7 +53,7 @@ def write_workbook(tables: dict[str, DataFrame], path: str | Path) -> None:
 def with_topics(df: DataFrame, key: str, assigned: DataFrame, names: DataFrame) -> DataFrame:
     """Input columns plus Topic_ID, Topic and Topic_Score."""
     rows = df.join(assigned.select(F.col(key), F.col("topic_id").alias("Topic_ID"), F.col("score").alias("Topic_Score")), key, "left")
-    named = rows.join(F.broadcast(names.select(F.col("topic_id").alias("Topic_ID"), F.col("name").alias("Topic"))), "Topic_ID", "left")
+    named = rows.join(names.select(F.col("topic_id").alias("Topic_ID"), F.col("name").alias("Topic")), "Topic_ID", "left")
     default = F.concat(F.lit("Topic "), (F.col("Topic_ID") + 1).cast("string"))
     return named.withColumn("Topic", F.coalesce("Topic", default)).select(*df.columns, "Topic_ID", "Topic", "Topic_Score")
 
