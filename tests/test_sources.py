@@ -11,9 +11,9 @@ from topicloom.streaming import topics as streams
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "cp1252"])
 def test_csv_in_any_encoding(spark, tmp_path, encoding):
     path = tmp_path / "t.csv"
-    path.write_bytes('id;text\n1;"café; ""x"""\n2;naïve\n'.encode(encoding))
+    path.write_bytes('id;text\n1;"café; ""x"""\n2;naïve “€”\n'.encode(encoding))
     df = readers.read_table(spark, f"file://{path}")
-    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'café; "x"'), (2, "naïve")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'café; "x"'), (2, "naïve “€”")]
 
 
 def test_pasted(spark):

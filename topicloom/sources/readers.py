@@ -18,7 +18,9 @@ from topicloom.operators.corpus import unique_columns
 
 #: Bytes of a file that encoding and delimiter are judged by.
 SAMPLE_BYTES = 1 << 20
-_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
+_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
+#: What Latin-1 reads as control characters stands for these in the Western encoding, which Spark's reader doesn't know.
+_CONTROLS, _WESTERN = zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), strict=True)
 
 
 class ReadError(ValueError):
@@ -82,7 +84,12 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str | None
         text, found = decoded(raw if len(raw) < SAMPLE_BYTES else raw[: raw.rfind(b"\n") + 1] or raw)
         sep, encoding = sep or delimiter(text), encoding or found
     reader = spark.read.option("header", True).option("inferSchema", infer).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return unique_columns(reader.option("sep", sep).option("encoding", _SPARK_NAMES.get(encoding, encoding)).csv(path))
+    df = unique_columns(reader.option("sep", sep).option("encoding", _SPARK_NAMES.get(encoding, encoding)).csv(path))
+    if encoding != "cp1252":
+        return df
+    controls, western = "".join(_CONTROLS), "".join(_WESTERN)
+    columns = [F.translate(f"`{c}`", controls, western) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return df.select(*(col.alias(c.translate(str.maketrans(controls, western))) for col, c in zip(columns, df.columns, strict=True)))
 
 
 def read_pasted(spark: SparkSession, raw: str, sep: str = "auto", header: bool = True) -> DataFrame:
