@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import stopwords, text, tokens
+from topicloom.session import written
 
 
 def preprocess_basic(df: DataFrame, key: str, column: str, language: str = "en", extra: list[str] | None = None) -> DataFrame:
@@ -155,7 +156,8 @@ def preprocess_academic(df: DataFrame, key: str, column: str, language: str = "e
         F.filter("__tagged", lambda t: (F.length(t["lemma"]) >= p["min_token_len"]) & (F.length(t["lemma"]) <= p["max_token_len"]) & t["pos"].isin(*p["pos_keep"])) if language != "zh" else F.filter("__tagged", lambda t: t["pos"].isin(*p["pos_keep"])),
         lambda t: t["lemma"],
     )
-    out = tagged.select(key, tokens.without(lemma, stop).alias("tokens"))
+    # phrases and frequencies read the tokens several times, so the annotator's work is kept
+    out = written(tagged.select(key, tokens.without(lemma, stop).alias("tokens")), "lemmas")
     if ngrams:
-        out = phrases.merge(out, key, phrases.learn(out, key, p.get("ngram_min_count", 5), p.get("ngram_threshold", 10.0)))
+        out = written(phrases.merge(out, key, phrases.learn(out, key, p.get("ngram_min_count", 5), p.get("ngram_threshold", 10.0))), "phrases")
     return academic_filter(out, key, p["df_no_below"], p["df_no_above"])

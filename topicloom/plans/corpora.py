@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from topicloom.functions import tokens
 from topicloom.operators import corpus, models, phrases
 from topicloom.plans import sql
-from topicloom.session import table
+from topicloom.session import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.preprocess_basic(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return corpus.preprocess_basic(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -61,11 +61,11 @@ def preprocess_report(spark, sf_dir):
 
 
 def preprocess_lite(spark, sf_dir):
-    return _joined(corpus.preprocess(table(spark, sf_dir, "documents"), "doc_id", "text", "mixed", ["Las Vegas", "Check-in"]))
+    return _joined(corpus.preprocess(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "mixed", ["Las Vegas", "Check-in"]))
 
 
 def preprocess_academic(spark, sf_dir):
-    return _joined(corpus.preprocess_academic(table(spark, sf_dir, "documents"), "doc_id", "text", "en", "loose"))
+    return _joined(corpus.preprocess_academic(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "en", "loose"))
 
 
 def bigram_counts(spark, sf_dir):

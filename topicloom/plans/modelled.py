@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators import corpus, models, topics
-from topicloom.session import shared_dir, table
+from topicloom.session import shared_dir, spread, table
 from topicloom.streaming import topics as streams
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.preprocess_basic(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return corpus.preprocess_basic(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def lda_topics(spark, sf_dir):

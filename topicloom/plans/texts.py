@@ -9,11 +9,11 @@ from topicloom.functions import annotate as tagging
 from topicloom.functions import language, lexicon, text, tokens
 from topicloom.operators import corpus
 from topicloom.plans import sql
-from topicloom.session import table
+from topicloom.session import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _joined(c) -> Column:

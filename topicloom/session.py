@@ -92,6 +92,13 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(local, ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has far fewer splits than there are cores, as small files have; a large input
+    stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard tables."""
     ship(spark)
