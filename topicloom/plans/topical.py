@@ -174,7 +174,7 @@ names AS (SELECT topic_id, 'T' || lpad(topic_id::VARCHAR, 2, '0') || '_' || CASE
 
 
 _A = 'WITH a AS (SELECT row_id, "Topic_ID" AS topic_id, "Topic_Score" AS score, analysis_text, published_at FROM docs_out)\n'
-_R = """, r AS (SELECT "Topic_ID" AS topic_id, "Word" AS word, "Weight" AS weight, row_number() OVER (PARTITION BY "Topic_ID" ORDER BY "Weight" DESC, "Word") AS rank FROM topic_words_long),
+_R = """, r AS (SELECT "Topic_ID" AS topic_id, "Word" AS word, "Weight" AS weight, (row_number() OVER (PARTITION BY "Topic_ID" ORDER BY "Weight" DESC, "Word"))::INTEGER AS rank FROM topic_words_long),
 w25 AS (SELECT topic_id, list(word ORDER BY rank) AS words FROM r WHERE rank <= 25 GROUP BY topic_id)
 """
 _RW = "WITH" + _R[1:]
@@ -199,7 +199,7 @@ SQL = {
     "topic_table": _RW + "SELECT topic_id, string_agg(word, ', ' ORDER BY rank) AS words FROM r WHERE rank <= 20 GROUP BY topic_id",
     "topic_words_long": _RW + 'SELECT topic_id AS "Topic_ID", rank AS "Rank", word AS "Word", weight AS "Weight" FROM r WHERE rank <= 10',
     "normalized_weights": _RW + "SELECT topic_id, word, round(weight / sum(weight) OVER (PARTITION BY topic_id), 6) AS weight FROM r",
-    "representative_docs": _A + "SELECT topic_id, rank, row_id, score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, row_id) AS rank FROM a WHERE topic_id >= 0 AND score IS NOT NULL) WHERE rank <= 2",
+    "representative_docs": _A + "SELECT topic_id, rank, row_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, row_id))::INTEGER AS rank FROM a WHERE topic_id >= 0 AND score IS NOT NULL) WHERE rank <= 2",
     "argmax_assignment": "SELECT vec_id, (list_position(v, list_max(v)) - 1)::INTEGER AS topic_id, round(list_max(v), 6) AS score FROM (SELECT vec_id, embedding[1:12]::DOUBLE[] AS v FROM embeddings)",
     "best_topic_of_word": _BEST + "SELECT word, topic_id, prob FROM b WHERE prob >= 0.01 ORDER BY prob DESC, word LIMIT 100",
     "label_top_words": _BEST + "SELECT word, topic_id, prob FROM b ORDER BY prob DESC, word LIMIT 20",
