@@ -130,11 +130,11 @@ RULES = [
 ]
 # Function words that tell a language among a topic's words.
 CLUES = {
-    "Spanish": "que los las nos del por con para como una mas pero muy esto esta este ser estar".split(),
-    "French": "les des une pour dans avec sur mais nous vous est pas que qui".split(),
-    "German": "der die das und nicht mit ist ein eine auf von war".split(),
-    "Portuguese": "que uma com para mais mas nos dos das foi ser muito".split(),
-    "Italian": "che non una con qui pero era due del lo anche sono".split(),
+    "Spanish": "el la los las un una de del al en por para con sin que se su no y muy".split(),
+    "French": "le la les des un une du de en dans pour avec sur qui que pas est nous vous et".split(),
+    "German": "der die das den dem ein eine und oder nicht ist war mit von zu im auf wir".split(),
+    "Portuguese": "o os as um uma do da dos das em no na para com que se foi muito e".split(),
+    "Italian": "il lo gli la le un una di del della che non per con sono e".split(),
 }
 DEFAULT_SUFFIX = "Mixed"
 
