@@ -127,3 +127,13 @@ def test_academic_pipeline(spark):
     got = corpus.preprocess_academic(df, "id", "text", preset={"df_no_below": 2, "df_no_above": 1.0, "ngram_min_count": 50})
     assert got.first().tokens[:2] == ["beautiful", "robot"]
     assert "robot" in corpus.preprocess(df, "id", "text").first().tokens
+
+
+@pytest.mark.parametrize("batch", [False, True])
+def test_a_pass_reads_every_document(spark, batch):
+    # each document has a word of its own; unread, it keeps its start, about 1 for each topic
+    docs = spark.createDataFrame([(i, [f"w{i:03d}"] * 50 + ["common"]) for i in range(60)], "id int, tokens array<string>")
+    b = models.fit_lda(docs, "id", 2, 1, "symmetric", no_below=1, no_above=1.0, batch=batch)
+    mass = dict(zip(b.vocabulary, b.model.topicsMatrix().toArray().sum(1), strict=True))
+    assert len(mass) == 61 and [w for w in mass if mass[w] < 2.7] == []
+    assert b.theta.count() == 60
