@@ -137,3 +137,14 @@ def test_a_pass_reads_every_document(spark, batch):
     mass = dict(zip(b.vocabulary, b.model.topicsMatrix().toArray().sum(1), strict=True))
     assert len(mass) == 61 and [w for w in mass if mass[w] < 2.7] == []
     assert b.theta.count() == 60
+
+
+def test_phrases_beyond_the_table_are_merged(spark, monkeypatch):
+    rng = random.Random(1)
+    data = [(i // 2, [rng.choice("abcdef") for _ in range(rng.randrange(12))]) for i in range(120)] + [(99, None)]
+    docs = spark.createDataFrame(data, "id int, tokens array<string>")
+    made = [lambda: phrases.learn_by_count(docs, "id", 5), lambda: phrases.learn(docs, "id", 2, 0.01)]
+    whole = [rows(phrases.merge(docs, "id", f()), "id", "tokens") for f in made]
+    monkeypatch.setattr(phrases, "MAX_PHRASES", 3)
+    cut = [rows(phrases.merge(docs, "id", f()), "id", "tokens") for f in made]
+    assert cut == whole and any("_" in w for _, words in whole[1] for w in words)

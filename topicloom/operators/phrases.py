@@ -1,7 +1,8 @@
 """Adjacent tokens: counts, phrase scores and merging.
 
 Counting and scoring are relational. Merging is sequential inside a document, so it runs over Arrow batches with the
-phrase table in each task; the table is limited to ``MAX_PHRASES``.
+phrase table in each task. A table of more than ``MAX_PHRASES`` stays on the shared folder and is joined to the neighbours;
+the tasks then get the places of the phrases in each document.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.session import ship
+from topicloom.session import ship, written
 
-#: Phrases that a task holds at most: the best by score.
+#: Phrases that a task holds at most; more are joined.
 MAX_PHRASES = 200_000
 
 
@@ -53,9 +54,40 @@ def _merge_once(words: list[str], phrases: set[tuple[str, str]]) -> list[str]:
     return out
 
 
-def merge(df: DataFrame, key: str, rounds: list[list[tuple[str, str]]], tokens: str = "tokens") -> DataFrame:
-    """(key, tokens) with phrases joined by "_", from left to right, one round after the other."""
+def _merge_at(words: list[str], places: set[int]) -> list[str]:
+    out, i = [], 0
+    while i < len(words):
+        if i in places:
+            out.append(f"{words[i]}_{words[i + 1]}")
+            i += 2
+        else:
+            out.append(words[i])
+            i += 1
+    return out
+
+
+def _merge_joined(df: DataFrame, key: str, table: DataFrame, tokens: str) -> DataFrame:
+    """One round of a merge with a table of any size (a, b): a join finds the places, by row, as keys may repeat."""
+    rows = written(df.select(key, F.col(tokens).alias("tokens")).withColumn("_row", F.monotonically_increasing_id()), "unmerged")
+    hits = adjacent(rows, "_row").join(table.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    places = hits.groupBy("_row").agg(F.collect_list("pos").alias("places"))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(lists: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([_merge_at([] if words is None else list(words), set() if p is None else set(p)) for words, p in zip(lists, at, strict=True)])
+
+    return rows.join(places, "_row", "left").select(key, run("tokens", "places").alias("tokens"))
+
+
+def merge(df: DataFrame, key: str, rounds: list[list[tuple[str, str]] | DataFrame], tokens: str = "tokens") -> DataFrame:
+    """(key, tokens) with phrases joined by "_", from left to right, one round after the other; a round is a list of pairs or a
+    table (a, b)."""
     ship(df.sparkSession)
+    for n, table in enumerate(rounds):
+        if isinstance(table, DataFrame):
+            before = merge(df, key, rounds[:n], tokens) if n else df.select(key, F.col(tokens).alias("tokens"))
+            after = _merge_joined(before, key, table, "tokens")
+            return merge(after, key, rounds[n + 1 :]) if rounds[n + 1 :] else after
     tables = [set(r) for r in rounds]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -72,22 +104,25 @@ def merge(df: DataFrame, key: str, rounds: list[list[tuple[str, str]]], tokens:
     return df.select(key, run(F.col(tokens)).alias("tokens"))
 
 
-def learn(df: DataFrame, key: str, least: int = 5, threshold: float = 10.0, bigram_only: bool = False) -> list[list[tuple[str, str]]]:
-    """The rounds of a merge: two-word phrases, then phrases over the merged documents, with softer limits."""
-    def best(rows: DataFrame) -> list[tuple[str, str]]:
-        return [(r.a, r.b) for r in rows.orderBy(F.desc("score"), "a", "b").limit(MAX_PHRASES).collect()]
+def _round(rows: DataFrame) -> list[tuple[str, str]] | DataFrame:
+    """The pairs as a list, or as a table where they are more than a task may hold."""
+    table = written(rows.select("a", "b"), "phrases")
+    got = table.limit(MAX_PHRASES + 1).collect()
+    return [(r.a, r.b) for r in got] if len(got) <= MAX_PHRASES else table
 
-    first = best(scores(df, key, least, threshold))
+
+def learn(df: DataFrame, key: str, least: int = 5, threshold: float = 10.0, bigram_only: bool = False) -> list[list[tuple[str, str]] | DataFrame]:
+    """The rounds of a merge: two-word phrases, then phrases over the merged documents, with softer limits."""
+    first = _round(scores(df, key, least, threshold))
     if bigram_only:
         return [first]
     again = merge(df, key, [first])
-    return [first, best(scores(again, key, max(2, least // 2), max(3.0, 0.6 * threshold)))]
+    return [first, _round(scores(again, key, max(2, least // 2), max(3.0, 0.6 * threshold)))]
 
 
-def learn_by_count(df: DataFrame, key: str, least: int = 5) -> list[list[tuple[str, str]]]:
+def learn_by_count(df: DataFrame, key: str, least: int = 5) -> list[list[tuple[str, str]] | DataFrame]:
     """The plain fallback: every pair of neighbours that occurs often enough."""
-    rows = bigram_counts(df, key, least).orderBy(F.desc("n"), "a", "b").limit(MAX_PHRASES)
-    return [[(r.a, r.b) for r in rows.collect()]]
+    return [_round(bigram_counts(df, key, least))]
 
 
 def windows(df: DataFrame, key: str, words: list[str], size: int = 110, tokens: str = "tokens") -> DataFrame:
