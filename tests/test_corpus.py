@@ -1,5 +1,7 @@
+import inspect
 import itertools
 import random
+import types
 from collections import Counter
 
 import pytest
@@ -148,3 +150,30 @@ def test_phrases_beyond_the_table_are_merged(spark, monkeypatch):
     monkeypatch.setattr(phrases, "MAX_PHRASES", 3)
     cut = [rows(phrases.merge(docs, "id", f()), "id", "tokens") for f in made]
     assert cut == whole and any("_" in w for _, words in whole[1] for w in words)
+
+
+def test_queries_fit_with_the_operators_limits(monkeypatch):
+    from topicloom.plans import modelled
+
+    class Stop(Exception):
+        pass
+
+    def run(query, name):
+        signature = inspect.signature(getattr(models, name))
+
+        def record(*args, **named):
+            got = signature.bind(*args, **named)
+            got.apply_defaults()
+            raise Stop(got.arguments, {n: p.default for n, p in signature.parameters.items()})
+
+        with monkeypatch.context() as m, pytest.raises(Stop) as stopped:
+            m.setattr(modelled, "_docs", lambda *_: None)
+            m.setattr(modelled, "table", lambda *_: types.SimpleNamespace(select=lambda *_: None))
+            m.setattr(models, name, record)
+            query(None, "")
+        return stopped.value.args
+
+    limits = ("ks", "iterations", "passes", "sample", "keep_n", "max_features", "components")
+    for query, name in ((modelled.k_sweep, "k_sweep"), (modelled.tuning_grid, "tune"), (modelled.lite_cluster, "fit_clusters"), (modelled.lite_cluster_terms, "fit_clusters"), (modelled.coherence, "fit_lda"), (modelled.train_and_assign, "train_and_assign")):
+        got, default = run(query, name)
+        assert [(name, n, got[n]) for n in limits if n in got and default[n] is not inspect.Parameter.empty and got[n] != default[n]] == []

@@ -25,20 +25,20 @@ def lda_assignments(spark, sf_dir):
 
 
 def lite_cluster(spark, sf_dir):
-    got = models.fit_clusters(_docs(spark, sf_dir), "doc_id", 6, max_features=800, components=20)
+    got = models.fit_clusters(_docs(spark, sf_dir), "doc_id", 6)
     return got.labels.join(got.points, "doc_id")
 
 
 def lite_cluster_terms(spark, sf_dir):
-    return models.fit_clusters(_docs(spark, sf_dir), "doc_id", 6, max_features=800, components=20).words
+    return models.fit_clusters(_docs(spark, sf_dir), "doc_id", 6).words
 
 
 def k_sweep(spark, sf_dir):
-    return models.k_sweep(_docs(spark, sf_dir), "doc_id", (3, 5, 7, 9), 10, keep_n=2000)
+    return models.k_sweep(_docs(spark, sf_dir), "doc_id")
 
 
 def tuning_grid(spark, sf_dir):
-    return models.tune(_docs(spark, sf_dir), "doc_id", [4, 6], ["symmetric", 0.1], 3, 300, keep_n=2000)[0]
+    return models.tune(_docs(spark, sf_dir), "doc_id", [4, 6], ["symmetric", 0.1])[0]
 
 
 def word_map(spark, sf_dir):
@@ -48,13 +48,13 @@ def word_map(spark, sf_dir):
 
 def coherence(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    words = topics.top_words(models.fit_lda(docs, "doc_id", 6, 5, "symmetric", keep_n=2000).words, 10).cache()
+    words = topics.top_words(models.fit_lda(docs, "doc_id", 6, alpha="symmetric").words, 10).cache()
     return spark.createDataFrame([(models.c_v(docs, words, "doc_id"), models.umass(docs, words, "doc_id"))], "c_v double, u_mass double")
 
 
 def train_and_assign(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return models.train_and_assign(docs, _docs(spark, sf_dir), "doc_id", "text", 6, 10).dictionary
+    return models.train_and_assign(docs, _docs(spark, sf_dir), "doc_id", "text", 6).dictionary
 
 
 def _stream(spark: SparkSession, sf_dir: str, make) -> DataFrame:
