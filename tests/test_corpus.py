@@ -4,6 +4,7 @@ import random
 import types
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from topicloom.operators import corpus, evolution, models, phrases, topics
@@ -177,3 +178,11 @@ def test_queries_fit_with_the_operators_limits(monkeypatch):
     for query, name in ((modelled.k_sweep, "k_sweep"), (modelled.tuning_grid, "tune"), (modelled.lite_cluster, "fit_clusters"), (modelled.lite_cluster_terms, "fit_clusters"), (modelled.coherence, "fit_lda"), (modelled.train_and_assign, "train_and_assign")):
         got, default = run(query, name)
         assert [(name, n, got[n]) for n in limits if n in got and default[n] is not inspect.Parameter.empty and got[n] != default[n]] == []
+
+
+def test_streams_write_the_last_windows(spark, tmp_path):
+    from topicloom.plans import modelled
+
+    hours = pd.date_range("2024-01-01", periods=100, freq="h", tz="UTC").astype("datetime64[us, UTC]")
+    pd.DataFrame({"ts": hours, "event_type": ["a", "b"] * 50, "user_id": range(100)}).to_parquet(f"{tmp_path}/events.parquet")
+    assert [sum(r.n for r in q(spark, str(tmp_path)).collect()) for q in (modelled.stream_topic_counts, modelled.stream_sessions)] == [100, 100]
