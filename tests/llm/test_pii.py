@@ -66,3 +66,48 @@ def test_found_in_awkward_places(text, kind):
 def test_very_long_texts_take_linear_time():
     assert len(pii.spans("Ana Oskazarel, " * 20_000, NAMES)) == 20_000
     assert pii.spans("9" * 300_000, NAMES) == [] and pii.spans("a.b " * 100_000, NAMES) == []
+
+
+FIRST = "Zbigniew Ngozi Thandiwe Øyvind Saoirse Kwabena Yevgenia Tuomas Ayşe Dragoslav".split()
+LAST = "Kowalczyk Okonkwo Mkhwanazi Håkonsen MacGiolla Asante-Boadu Rybakova Väisänen Yıldırım O'Sullivan".split()
+PLACES = [
+    "My name is {} and we stayed a week.", "Thanks to {} for the tour.", "We spoke with {} at the desk.", "This is {} from room nine.", "Me llamo {} y volveremos.", "Gracias a {} por todo.", "Je m'appelle {} et tout allait bien.", "Merci à {} pour la visite.",
+    "Mein Name ist {} und es war schön.", "Ich heiße {}, bis bald.", "Meu nome é {} e gostei.", "Obrigado a {} pela ajuda.", "Great stay, signed: {}", "We met Mrs {} there.",
+]
+
+
+def test_introduced_names_need_no_lexicon():
+    names = pii.Names(pii.GIVEN)
+    texts = [p.format(f"{a} {b}") for p in PLACES for a in FIRST for b in LAST]
+    hits = [any(t[s[0] : s[1]].endswith(t.split(b)[0][-1:] + b) or b in t[s[0] : s[1]] for s in pii.spans(t, names) if s[2] == "name") for t, b in zip(texts, LAST * (len(texts) // len(LAST)), strict=True)]
+    assert sum(hits) / len(hits) >= 0.9
+
+
+@pytest.mark.parametrize("text", ["This is Park Plaza Hotel again", "Thanks to Hotel Arts for it", "thanks to everybody here", "Thanks to Casa Mateo", "i am very happy", "This Is The Best Hotel", "Soy de Valencia", "Ich bin Gast hier"])
+def test_introductions_of_no_person(text):
+    assert "name" not in kinds(text)
+
+
+def test_chinese_names_after_an_introduction():
+    assert pii.redacted("你好，我叫王小明，住三晚", pii.spans("你好，我叫王小明，住三晚", NAMES)) == "你好，我叫[NAME]，住三晚"
+    assert kinds("我叫不到出租车") == set()
+
+
+def test_addresses_of_any_length_are_covered():
+    text = "Write to " + "a" * 500 + " at example dot com now"
+    assert pii.redacted(text, pii.spans(text, NAMES)) == "Write to [EMAIL] now"
+    text = "to " + " dot ".join(["ana"] * 60) + " (at) " + " dot ".join(["mail"] * 60) + " dot org please"
+    assert pii.redacted(text, pii.spans(text, NAMES)) == "to [EMAIL] please"
+    assert pii.spans(("x" * 20_000 + " at ") * 10, NAMES) == []
+
+
+def test_a_lexicon_of_any_size(spark, monkeypatch):
+    letters = "abcdefghijklmnop"
+    people = [f"Zor{a} Quix{b}well" for a in letters for b in letters]
+    rows = [(i, f"Thanks to {p} we came back. MADRID", i) for i, p in enumerate(people)] * 2 + [(1000 + i, f"then {p.lower()} left, as did Ana Zorb", i) for i, p in enumerate(people)] + [(5000, None, 0), (5001, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, word int")
+    held = sorted(map(tuple, pii.redact(df, "text", ["doc_id"]).collect()), key=str)
+    monkeypatch.setattr(pii, "MAX_NAMES", 3)
+    assert sorted(map(tuple, pii.redact(df, "text", ["doc_id"]).collect()), key=str) == held
+    assert all("[NAME] left" in t for i, t, _ in held if 1000 <= i < 5000)
+    assert sorted(map(tuple, pii.kinds_found(df, "text", "doc_id").collect())) == sorted((i, "name") for i, t, k in held if k)
