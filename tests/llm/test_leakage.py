@@ -61,7 +61,41 @@ def test_looks_and_places(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 5))
-def test_suffix_keys(ids, least):
-    keys, where = leakage.suffix_keys(np.array(ids, np.uint32), least)
+def test_suffix_hashes(ids, least):
+    hashes, where = leakage.suffix_hashes(np.array(ids, np.uint32), least)
     assert list(where) == [i for i in range(len(ids) - least + 1) if all(ids[i : i + least])]
-    assert len(keys) == len(where)
+    assert len(hashes) == len(where)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60))
+def test_rank_tables_sort_in_full(ids):
+    seq = np.array([*ids, 0])
+    tables = leakage.rank_tables(seq)
+    marked = [(0, i) if w else (1, 10 + i, 0) for i, w in enumerate(seq)]
+    full = [[(w, 0) if w else (9, i) for i, w in list(enumerate(seq))[k:]] for k in range(len(seq))]
+    assert len(marked) == len(full)
+    assert list(np.argsort(tables[-1], kind="stable")) == sorted(range(len(seq)), key=lambda k: full[k])
+    for a in range(len(seq)):
+        for b in range(len(seq)):
+            same = 0
+            while a != b and same < min(len(full[a]), len(full[b])) and full[a][same] == full[b][same]:
+                same += 1
+            assert a == b or leakage.common_words(tables, np.array([a]), np.array([b]))[0] == same
+
+
+def test_a_passage_shared_by_many_items_and_documents():
+    import tracemalloc
+
+    form = Form(unicode_patterns())
+    passage = " ".join(f"word{i}" for i in range(30))
+    tests = leakage.TestSet([(i, f"item{i} {passage} end{i}") for i in range(300)], 12, form)
+    ids = np.array([*([*(tests.number[f"word{i}"] for i in range(30)), 0] * 1000)], np.uint32)
+    tracemalloc.start()
+    pairs = 0
+    for found in leakage.longest(tests, ids, 12):
+        assert set(found[:, 3]) == {30}
+        pairs += len(found)
+    assert pairs == 300 * 1000  # one row for each document and item
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
