@@ -33,6 +33,14 @@ def test_nested(text):
     assert e.garbled(garbled) == (True, text)
 
 
+@pytest.mark.parametrize("layers", [3, 5, 6, 8])
+def test_any_number_of_layers(layers):
+    garbled = "Où est le café ?"
+    for _ in range(layers):
+        garbled = lenient(garbled.encode(), "cp1252")
+    assert e.garbled(garbled) == (True, "Où est le café ?")
+
+
 def test_double_byte():
     assert e.garbled(lenient(CHINESE.encode("gbk"), "cp1252")) == (True, CHINESE)
     done = 0

@@ -39,3 +39,12 @@ def test_handing_on_early_is_exact(monkeypatch):
                 sums[t][1] += r
         totals.append(dict(sums))
     assert totals[0] == totals[1] == {"a": [6, 3], "b": [1, 1], "c": [2, 1], "d": [1, 1], None: [0, 3]}
+
+
+def test_hot_records_are_spread(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i, f"w{i % 7} all\u00a0w{i % 5}\x1cx") for i in range(300)] + [(None, " "), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, toks string")
+    want = sorted(map(tuple, frequency.token_counts(df, "doc_id", "toks").collect()), key=str)
+    monkeypatch.setattr(frequency, "HOT_DELIVERIES", 20)
+    assert sorted(map(tuple, frequency.token_counts(df, "doc_id", "toks").collect()), key=str) == want
+    assert ("all", 300, 201) in want and (None, 0, 201) in want

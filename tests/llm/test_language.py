@@ -65,3 +65,45 @@ def test_labels(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "tab string, rec_id bigint, text string, label string, host string, part string")
     assert lang.wrong_labels(lang.languages(df, ["host", "part"])).count() == 0
+
+
+def test_segments(spark):
+    rng = random.Random(3)
+    rows, truth = [], {}
+    for i in range(400):
+        first, second = rng.sample(lang.LANGUAGES, 2)
+        a, b = (" ".join(sentence(rng, c).strip() for _ in range(2)) for c in (first, second))
+        mixed = i % 3 == 0
+        text = f"{a} {b}" if mixed else a
+        rows.append(("t", i, text, first, "host" if i % 2 else None, str(i % 4)))
+        truth[i] = [(first, 0, len(a)), (second, len(a) + 1, len(text))] if mixed else [(first, 0, len(a))]
+    rows += [("t", 9000, None, "en", "h", "p"), ("t", 9001, "", "en", "h", "p"), ("t", 9002, "12 - 5", None, "h", "p"), ("t", 9003, "ok", None, None, None)]
+    df = spark.createDataFrame(rows, "tab string, rec_id bigint, text string, label string, host string, part string")
+    got = {}
+    for r in lang.segments(df, ["host", "part"]).orderBy("rec_id", "segment").collect():
+        got.setdefault(r.rec_id, []).append((r.language, r.start, r.stop))
+        assert 0 < r.confidence <= 1
+    assert set(got) == set(truth) | {9003}
+    right = sum(got[i] == t for i, t in truth.items())
+    assert right >= 0.97 * len(truth)
+
+
+def test_a_sentence_between_two_pieces_is_seen():
+    words = [f"w{i}" for i in range(70)]
+    tokens = [*words[:50], ".", *words[50:]]
+    parts = list(lang.pieces(tokens))
+    assert [len(p) for p in parts] == [24, 24, 2, 20]
+    assert lang.between(parts, tokens) == [words[12:36], words[36:50]]
+
+
+def test_a_hot_host(spark, monkeypatch):
+    from topicloom.operators import joins
+
+    rng = random.Random(4)
+    rows = [("t", i, sentence(rng, "es" if i % 3 else "fr"), None, "hot" if i % 3 == 0 else f"h{i % 30}", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "tab string, rec_id bigint, text string, label string, host string, part string")
+    model = lang.train(df)
+    want = sorted(map(str, lang.languages(df, ["host", "part"], model).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    assert sorted(map(str, lang.languages(df, ["host", "part"], model).collect())) == want

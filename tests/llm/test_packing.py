@@ -67,3 +67,53 @@ def test_summary(spark, docs):
     row = packing.summary(packed).first()
     assert row.fill > 0.95 and row.tokens == packed.agg(F.sum("tokens")).first()[0]
     assert abs(packing.mixture(packed).groupBy("level", "shard", "window").agg(F.sum("share").alias("s")).first().s - 1) < 1e-9
+
+
+def test_sizes_are_those_of_the_tokenizer():
+    import base64
+    import importlib.util
+    from pathlib import Path
+
+    import tiktoken
+
+    spec = importlib.util.spec_from_file_location("files", Path(packing.TOKENIZERS) / "__init__.py")
+    files = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(files)
+    with open(f"{packing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        plain = tiktoken.Encoding("x", pat_str=files.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    count = packing.token_counter()
+    word = "unforgettable hotel, 12 "
+    for text in (word * 20_000, "x" * 300_000, "酒店" * 60_000, word + " " * 30_000 + word, "a" + "\n" * 20_000, " " * 20_001 + "b", "a" + " \t" * 9_000):
+        assert count(text) == len(plain.encode_ordinary(text))
+    assert count("a" + " " * 2_000_000 + "b") > 2
+
+
+def test_every_source_brings_its_share(spark, monkeypatch):
+    from topicloom.operators import joins
+
+    rows = [(i, "hotel robot " * (1 + i % 4), f"s{i % 40}") for i in range(400)] + [(1000 + i, "room " * 3, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    limits = spark.createDataFrame([(1, 32)], "limit_id int, capacity int")
+    want = sorted(map(tuple, packing.pack(df, limits).collect()), key=str)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    assert sorted(map(tuple, packing.pack(df, limits).collect()), key=str) == want and len(want) == 600
+
+
+def test_a_target_mixture(spark):
+    rng = random.Random(9)
+    rows = [(i, "hotel " * rng.randrange(1, 30), ["x", "x", "x", "x", "y", None][i % 6]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    limits = spark.createDataFrame([(1, 128)], "limit_id int, capacity int")
+    target = {"x": 0.4, "y": 0.3, None: 0.3}
+    got = packing.deviations(packing.pack(df, limits, shares=target), target, 16).where("level = 1 and lasting").collect()
+    assert len(got) >= 3 and max(r.deviation for r in got) < 0.03
+
+
+def test_many_sources_take_near_linear_time():
+    import time
+
+    texts = [(1 + i % 9, f"s{i}", i, 0, 0) for i in range(20_000)]
+    began = time.process_time()
+    placed = sum(len(c) for c in packing.Queues(texts, {}).fill(2_000))
+    assert placed == 20_000 and time.process_time() - began < 10

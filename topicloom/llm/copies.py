@@ -2,12 +2,14 @@
 
 Each field is reduced to its letters and digits in sequence, without case. Every (field name, value) pair is hashed
 and the hashes are combined by addition, which doesn't depend on the order of the pairs: a commutative multiset hash.
-Fields that may stand for each other carry the same name. Records are grouped by the 128-bit fingerprint; each member
-is then held against the group's first record field by field, in any order and without sorting, and the rare member
-that differs (a hash collision) is grouped by its values themselves.
+Fields that may stand for each other carry the same name. Records are grouped by the 128-bit fingerprint; the fields
+of the members of a group are then held against each other by grouping them by their values, in any order and without
+sorting. Where a group turns out to hold different values (a hash collision), its records are told apart by these.
 
-Only row ids and fingerprints go through the grouping aggregate, so a group that holds a third of all rows costs one
-long per row and is combined on the map side; texts are shuffled only for rows whose fingerprint repeats.
+The reduced fields are written once. Only ids and fingerprints go through the first aggregate, so a group that holds a
+third of all rows costs one long a row and is combined on the map side; so is the grouping by values, which
+covers the repeated fingerprints alone. The table of these finds its rows by ``operators.joins.lookup``: the texts stay where they are as long
+as it can be broadcast, and a hot group never meets in one task.
 
 Defined cases: a null, blank or letterless field is absent; a record without letters or digits in any of its fields
 is no case; unchanged repeats are copies; the same row id twice counts as two copies; extra columns are ignored.
@@ -19,10 +21,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicloom.operators.joins import lookup
 from topicloom.session import written
 
 #: What is no letter, mark or digit.
@@ -83,29 +86,24 @@ def fingerprints(df: DataFrame, key: str, pairs: dict[str, str], alone: str | No
     return rows.select("id", F.coalesce("a", "c").alias("a"), "b", only.alias("alone"), total(1).alias("h1"), total(2).alias("h2"))
 
 
-def same_values(swap: bool) -> Column:
-    """Whether the record's two fields equal the first record's, in either order if they are interchangeable."""
-    straight = F.col("a").eqNullSafe(F.col("a0")) & F.col("b").eqNullSafe(F.col("b0"))
-    crossed = F.col("a").eqNullSafe(F.col("b0")) & F.col("b").eqNullSafe(F.col("a0"))
-    return (straight | crossed if swap else straight) & (F.col("alone") == F.col("alone0"))
-
-
 def groups(df: DataFrame, key: str, pairs: dict[str, str], alone: str | None = None) -> DataFrame:
-    """(id, first, a, b): each record that has copies, with the smallest id of its group; the first itself included."""
+    """(id, first): each record that has copies, with the smallest id of its group; the first itself included."""
     swap = len(set(pairs.values())) == 1
-    prints = fingerprints(df, key, pairs, alone)
-    hashes = ["h1", "h2"]
-    first = prints.groupBy(*hashes).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*hashes, "first")
-    members = written(prints.join(first, hashes), "copies")
-    lead = members.where("id = first").select(*hashes, F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("alone").alias("alone0")).dropDuplicates(hashes)
-    held = members.join(lead, hashes).withColumn("same", same_values(swap))
-    good = held.where("same").select("id", "first", "a", "b")
-    # collisions of the fingerprint: by the values themselves
-    low, high = (F.least("a", "b"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b"))) if swap else (F.col("a"), F.col("b"))
-    rest = held.where(~F.col("same")).select("id", "a", "b", "alone", low.alias("lo"), high.alias("hi"))
-    lead2 = rest.groupBy("lo", "hi", "alone").agg(F.min("id").alias("first"))
-    null_safe = (F.col("r.lo").eqNullSafe(F.col("l.lo"))) & (F.col("r.hi").eqNullSafe(F.col("l.hi"))) & (F.col("r.alone") == F.col("l.alone"))
-    return good.unionByName(rest.alias("r").join(lead2.alias("l"), null_safe).select("r.id", "l.first", "r.a", "r.b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    low, high = (F.least("a", "b"), F.when(both, F.greatest("a", "b"))) if swap else (F.col("a"), F.col("b"))
+    prints = written(fingerprints(df, key, pairs, alone).select("id", "h1", "h2", low.alias("lo"), high.alias("hi"), "alone"), "prints")
+    hashes, values = ["h1", "h2"], ["lo", "hi", "alone"]
+    first = written(prints.groupBy(*hashes).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    # equality: the members of one fingerprint by their values; the map side leaves one row a task and group
+    classes = lookup(prints, first.select(*hashes, "n"), hashes, "n").groupBy(*hashes, *values).agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members"))
+    mixed = written(classes.withColumn("classes", F.count(F.lit(1)).over(Window.partitionBy(*hashes))).where("classes > 1"), "collisions")
+    collided = mixed.groupBy(*hashes).agg(F.sum("members").alias("n"))
+    whole = first.join(collided.select(*hashes), hashes, "left_anti")
+    good = lookup(prints.select("id", *hashes), whole, hashes, "n").select("id", "first")
+    # null-safe keys for the values of collided fingerprints
+    safe = [F.to_json(F.array("lo", "hi")).alias("v"), "alone"]
+    rest = lookup(prints.select("id", *hashes, *safe), mixed.where("members > 1").select(*hashes, *safe, F.col("leader").alias("first"), F.col("members").alias("n")), [*hashes, "v", "alone"], "n")
+    return good.unionByName(rest.select("id", "first"))
 
 
 def redundant_copies(df: DataFrame, key: str, pairs: dict[str, str], alone: str | None = None) -> DataFrame:
@@ -115,7 +113,7 @@ def redundant_copies(df: DataFrame, key: str, pairs: dict[str, str], alone: str
 
 def collapsed(df: DataFrame, key: str, pairs: dict[str, str], alone: str | None = None) -> DataFrame:
     """(key, copies): one row for each group of copies and each record without any; letterless records stay single."""
-    many = groups(df, key, pairs, alone)
+    many = written(groups(df, key, pairs, alone), "copies")
     counts = many.groupBy("first").agg(F.count(F.lit(1)).alias("copies"))
     drop = many.where("id <> first").select(F.col("id").alias(key))
     kept = df.select(key).dropDuplicates([key]).join(drop, key, "left_anti")

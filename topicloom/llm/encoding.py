@@ -30,8 +30,6 @@ from topicloom.llm.texts import map_text
 
 #: Single-byte encodings that UTF-8 is often taken for, with Latin-1 inside the first.
 SINGLE = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
-#: Most layers that are undone.
-LAYERS = 4
 # Letters and signs beyond ASCII that are usual in English, Spanish, French, German and Portuguese text.
 USUAL = set("áéíóúüñçàèìòùâêîôûãõäöëïœæßÁÉÍÓÚÜÑÇÀÈÌÒÙÂÊÎÔÛÃÕÄÖËÏŒÆ’‘“”„«»…–—€¿¡ºª°·£\u00a0")
 CLOSING = set("»”’“›")
@@ -234,7 +232,7 @@ def repair(text: str | None) -> str | None:
     """The text with every garbled stretch restored that can be."""
     if not text or text.isascii() or not suspect(text):
         return text
-    for _ in range(LAYERS):
+    while True:  # each layer costs less than the one before, so this ends
         best, least = text, cost_beyond(text)
         for tool in repairs():
             new = tool.repair(text)
@@ -243,7 +241,6 @@ def repair(text: str | None) -> str | None:
         if best == text:
             return text
         text = best
-    return text
 
 
 def cost_beyond(text: str) -> float:

@@ -5,9 +5,10 @@ occurrences, its records and the last record it was seen in; the records go up o
 one, so no set is kept for a record, and a record delivered twice counts once. The partial counters of the partitions
 are added by an ordinary aggregate, which is exact because no record lies in two partitions.
 
-Equal deliveries of one record within an Arrow batch are merged before the shuffle, so a record that holds a third of
-all rows doesn't travel row by row. Counters are handed on at the end of a record when there are many, which bounds
-a task's memory whatever the vocabulary.
+Equal deliveries of one record within an Arrow batch are merged before the shuffle. A record with more than
+``HOT_DELIVERIES`` rows left, as null may be, isn't put into one partition: its tokens are counted by ordinary aggregates, occurrences by
+their sum and records by distinct pairs of record and token. Counters are handed on at the end of a record when there
+are many, which bounds a task's memory whatever the vocabulary.
 
 Defined cases: null and blank token texts give no token and no record; a null record id counts as one record of its
 own; tokens are taken as written and separated by white space; an empty table gives an empty result.
@@ -27,10 +28,16 @@ from topicloom.session import written
 
 #: Counters held by a task before they are handed on.
 MOST_COUNTERS = 500_000
+#: Deliveries of one record, from which on its rows are spread.
+HOT_DELIVERIES = 50_000
 RARE_BELOW = 10
 COMMON_SHARE = 0.6
 
 
+# the characters that Python's split() divides at
+WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = pa.Table.from_batches([batch]).group_by(["rec", "tokens"]).aggregate([([], "count_all")])
@@ -79,9 +86,23 @@ def token_counts(df: DataFrame, rec: str, tokens: str) -> DataFrame:
     """
     kind = df.schema[rec].dataType.simpleString()
     rows = df.select(F.col(rec).alias("rec"), F.col(tokens).cast("string").alias("tokens")).where(F.col("tokens").isNotNull())
+    rows = rows.where(F.col("tokens").rlike(r"\S"))
+    counts = rows.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.where(F.col("n") > HOT_DELIVERIES).select(F.col("rec").alias("hot"), F.lit(True).alias("is_hot")), "hot")
+    parts = []
+    if not hot.isEmpty():
+        # there can't be many hot records: all rows by HOT_DELIVERIES
+        rows = rows.join(F.broadcast(hot), F.col("rec").eqNullSafe(F.col("hot")), "left").drop("hot")
+        long = rows.where("is_hot").select("rec", F.explode(F.filter(F.split("tokens", WHITE), lambda t: t != "")).alias("token"))
+        pairs = long.groupBy("rec", "token").agg(F.count(F.lit(1)).alias("occurrences"))
+        parts.append(pairs.select("token", "occurrences", F.lit(1).cast("bigint").alias("records")))
+        parts.append(hot.select(F.lit(None).cast("string").alias("token"), F.lit(0).cast("bigint").alias("occurrences"), F.lit(1).cast("bigint").alias("records")))
+        rows = rows.where("is_hot is null").drop("is_hot")
     merged = rows.mapInArrow(_merged, f"rec {kind}, tokens string, times bigint")
     ordered = merged.repartition(F.col("rec")).sortWithinPartitions("rec")
     partial = ordered.mapInArrow(_last_seen, "token string, occurrences bigint, records bigint")
+    for part in parts:
+        partial = partial.unionByName(part)
     return partial.groupBy("token").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -3,7 +3,8 @@
 Evidence is fused by Bayes' rule: the likelihood of the text's words and letters, the declared label, the suffixes of
 web addresses in the text, and a prior of the host that the text comes from. Host priors are smoothed hierarchically:
 part of a host towards the host, the host towards the whole collection, each from one grouped aggregation of soft
-counts over all rows.
+counts over all rows; a row's own count is taken out of them. Hosts are looked up by ``operators.joins.lookup``, so a host that holds a third of
+all rows doesn't send them to one task.
 
 The likelihood model is trained here: word counts by language from a bounded hash sample of labelled rows
 (``SAMPLE_ROWS``), started with Spark's stop-word lists, and estimated a second time from the sentences as the first
@@ -11,7 +12,9 @@ model sorts them, which removes wrong labels and mixed texts. Words outside the
 trigrams, with little weight; Chinese characters speak for Chinese. Texts are restored from wrong encodings and
 brought into their visual form first.
 
-A text has several languages when at least one full sentence of each is certain. Everything but the training sample
+A text has several languages when at least one full sentence of each is certain. Where no punctuation divides the
+text, pieces of ``LONGEST`` words are judged, and again those that begin half a piece later, so that no sentence falls between two. ``segments``
+gives each stretch of one language with its place in the text and its confidence. Everything but the training sample
 covers all rows.
 
 Defined cases: null texts and texts without letters get no language; a text whose words say nothing gets the language
@@ -35,13 +38,12 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.encoding import repair
 from topicloom.llm.visual import Form, unicode_patterns
+from topicloom.operators.joins import lookup
 from topicloom.session import ship, written
 
 LANGUAGES = ("en", "es", "zh", "fr", "de", "pt")
 #: Labelled rows in the training sample, about; a hash of the ids chooses them.
 SAMPLE_ROWS = 20_000
-#: Words in the model.
-VOCABULARY = 60_000
 #: How sure a label is: the chance that the right one is written.
 LABEL_RIGHT = 0.85
 #: Soft rows that a host's parent counts for.
@@ -117,7 +119,7 @@ class Model:
         vocabulary = Counter()
         for of in counts.values():
             vocabulary.update(of)
-        words = [w for w, _ in sorted(vocabulary.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
+        words = [w for w, _ in sorted(vocabulary.items(), key=lambda x: (-x[1], x[0]))]
         table = np.full((len(words), len(LANGUAGES)), 0.0)
         for i in self.latin:
             of = counts.get(LANGUAGES[i], {})
@@ -197,6 +199,20 @@ def pieces(tokens: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def between(parts: list[list[str]], whole: list[str]) -> list[list[str]]:
+    """The pieces of a text that begin half a piece later, where a sentence was cut into several; ``whole`` are its tokens."""
+    if not any(len(p) == LONGEST for p in parts):
+        return []
+    out, at = [], 0
+    for k, part in enumerate(parts):
+        while whole[at] in _MARKS:
+            at += 1
+        at += len(part)
+        if len(part) == LONGEST and k + 1 < len(parts) and at < len(whole) and whole[at] not in _MARKS:
+            out.append(part[LONGEST // 2 :] + parts[k + 1][: LONGEST // 2])
+    return out
+
+
 def scores(model: Model, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log-likelihoods, telling words, Chinese characters) of each part."""
     flat = [w for p in parts for w in p]
@@ -263,7 +279,8 @@ def _word_counts(sample: DataFrame, model: Model | None) -> dict[str, dict[str,
 
     totals = sample.mapInArrow(run, "code string, word string, n bigint").groupBy("code", "word").agg(F.sum("n").alias("n")).where("n > 1")
     out: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in totals.orderBy(F.desc("n"), "code", "word").limit(5 * VOCABULARY).collect():
+    # the words of a bounded sample; a word met once tells as much by its letters
+    for r in totals.collect():
         out[r.code][r.word] = float(r.n)
     return out
 
@@ -296,17 +313,24 @@ def text_evidence(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keep)
     patterns = unicode_patterns()
     numbers = [f"{c}{i}" for c in "ls" for i in range(len(LANGUAGES))]
+    held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepare = Prepared(patterns)
+        model = held.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 parts, owner, where, suffixes = [], [], [], []
+                half, half_owner = [], []
                 for i, text in enumerate(batch.column("__text").to_pylist()):
                     if not _LETTER.search(text):
                         continue
-                    got = list(pieces(prepare(text)))
+                    tokens = prepare(text)
+                    got = list(pieces(tokens))
+                    more = between(got, tokens)
+                    half += more
+                    half_owner += [len(where)] * len(more)
                     owner += [len(where)] * len(got)
                     parts += got
                     where.append(i)
@@ -314,6 +338,7 @@ def text_evidence(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 total = np.zeros((len(where), len(LANGUAGES)))
                 said = np.zeros(len(where), np.int64)
                 lists: list[list[str]] = [[] for _ in where]
+                also: list[set[str]] = [set() for _ in where]
                 if parts:
                     s, telling, han = scores(model, parts)
                     best, sure = certain(s, telling, han)
@@ -322,6 +347,10 @@ def text_evidence(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     np.add.at(said, owners, telling + han)
                     for k in np.flatnonzero(sure):
                         lists[owner[k]].append(LANGUAGES[best[k]])
+                if half:
+                    best, sure = certain(*scores(model, half))
+                    for k in np.flatnonzero(sure):
+                        also[half_owner[k]].add(LANGUAGES[best[k]])
                 for k, of in enumerate(suffixes):
                     for lang in of:
                         total[k, lang] += 1.5
@@ -331,27 +360,45 @@ def text_evidence(texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 codes = pa.array(list(map(label_of, kept.column("label").to_pylist())), pa.string())
                 columns = [pa.array(np.ascontiguousarray(m[:, i])) for m in (total, soft) for i in range(len(LANGUAGES))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(kept.column(k) for k in keep), codes, *columns, pa.array([sorted(set(x)) for x in lists], pa.list_(pa.string())), pa.array(said), pa.array(lists, pa.list_(pa.string()))],
+                    [*(kept.column(k) for k in keep), codes, *columns, pa.array([sorted(also[k].union(x)) for k, x in enumerate(lists)], pa.list_(pa.string())), pa.array(said), pa.array(lists, pa.list_(pa.string()))],
                     [*keep, "code", *numbers, "certain", "said", "parts"],
                 )
 
     return source.mapInArrow(run, f"{kinds}, code string, {', '.join(f'{n} double' for n in numbers)}, certain array<string>, said bigint, parts array<string>")
 
 
-def host_priors(rows: DataFrame, hosts: list[str]) -> DataFrame:
-    """(tab, *hosts, p0 ...): for each host and part of a host the smoothed share of each language."""
+def _host_keys(hosts: list[str]) -> list[Column]:
+    """The hosts as keys that are never null."""
+    return [c for i, h in enumerate(hosts) for c in (F.coalesce(F.col(h).cast("string"), F.lit("")).alias(f"__h{i}"), F.col(h).isNull().alias(f"__n{i}"))]
+
+
+def host_counts(rows: DataFrame, hosts: list[str]) -> tuple[DataFrame, list[float]]:
+    """(tab, host keys, n, n0 ..., h, h0 ...): for each part of a host the rows, the soft counts of each language in it and those
+    of the whole host; and the shares of the languages everywhere."""
     n = len(LANGUAGES)
-    soft = [F.sum(f"s{i}").alias(f"n{i}") for i in range(n)]
-    fine = rows.groupBy("tab", *hosts).agg(*soft)
-    coarse = fine.groupBy("tab", hosts[0]).agg(*(F.sum(f"n{i}").alias(f"h{i}") for i in range(n)))
+    keys = ["tab", *(f"__{c}{i}" for i in range(len(hosts)) for c in "hn")]
+    fine = rows.select("tab", *_host_keys(hosts), *(f"s{i}" for i in range(n))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"s{i}").alias(f"n{i}") for i in range(n)))
+    fine = written(fine, "hosts")
+    upper = ["tab", "__h0", "__n0"]
+    coarse = fine.groupBy(*upper).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("h"), *(F.sum(f"n{i}").alias(f"h{i}") for i in range(n)))
     total = fine.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n))).first()
     whole = [(total[i] or 0.0) + 1.0 for i in range(n)]
-    everywhere = [x / sum(whole) for x in whole]
-    of_host = [(F.col(f"h{i}") + SMOOTHING * everywhere[i]) / (sum((F.col(f"h{j}") for j in range(n)), F.lit(0.0)) + SMOOTHING) for i in range(n)]
-    parent = coarse.select("tab", F.col(hosts[0]).alias("__host"), *(p.alias(f"q{i}") for i, p in enumerate(of_host)))
-    joined = fine.join(parent, (fine["tab"] == parent["tab"]) & fine[hosts[0]].eqNullSafe(parent["__host"])).drop(parent["tab"])
-    own = sum((F.col(f"n{j}") for j in range(n)), F.lit(0.0))
-    return joined.select("tab", *hosts, *(((F.col(f"n{i}") + SMOOTHING * F.col(f"q{i}")) / (own + SMOOTHING)).alias(f"p{i}") for i in range(n)))
+    return written(lookup(fine, written(coarse, "hosts"), upper, "parts").drop("parts"), "hosts"), [x / sum(whole) for x in whole]
+
+
+def with_priors(rows: DataFrame, hosts: list[str]) -> DataFrame:
+    """``rows`` with p0 ...: the smoothed share of each language at the row's host, the row itself left out."""
+    n = len(LANGUAGES)
+    counts, everywhere = host_counts(rows, hosts)
+    keys = ["tab", *(f"__{c}{i}" for i in range(len(hosts)) for c in "hn")]
+    joined = lookup(rows.select("*", *_host_keys(hosts)), counts, keys, "n", "left")
+
+    # the soft counts of a row add up to 1, those of its host to the host's rows
+    def smoothed(rows_: str, count: str, i: int, parent: Column) -> Column:
+        return (F.greatest(F.lit(0.0), F.col(f"{count}{i}") - F.col(f"s{i}")) + SMOOTHING * parent) / (F.col(rows_) - 1 + SMOOTHING)
+
+    priors = [smoothed("n", "n", i, smoothed("h", "h", i, F.lit(everywhere[i]))).alias(f"p{i}") for i in range(n)]
+    return joined.select(*rows.columns, *priors)
 
 
 def languages(texts: DataFrame, hosts: list[str], model: Model | None = None) -> DataFrame:
@@ -362,27 +409,126 @@ def languages(texts: DataFrame, hosts: list[str], model: Model | None = None) ->
     """
     model = train(texts) if model is None else model
     keep = ["tab", "rec_id", "label", *hosts]
-    rows = written(text_evidence(texts, model, keep), "evidence")
-    priors = host_priors(rows, hosts)
+    rows = with_priors(written(text_evidence(texts, model, keep), "evidence"), hosts)
     n = len(LANGUAGES)
-    right = [priors[h].alias(f"__{h}") for h in hosts]
-    priors = priors.select(F.col("tab").alias("__tab"), *right, *(f"p{i}" for i in range(n)))
-    on = F.col("tab") == F.col("__tab")
-    for h in hosts:
-        on = on & F.col(h).eqNullSafe(F.col(f"__{h}"))
-    rows = rows.drop(*(f"s{i}" for i in range(n))).join(priors, on, "left")
     named, other = float(np.log(LABEL_RIGHT)), float(np.log((1 - LABEL_RIGHT) / (n - 1)))
     declared = [F.when(F.col("code").isNull(), 0.0).when(F.col("code") == code, named).otherwise(other) for code in LANGUAGES]
-    rows = rows.select("*", *((0.5 * (F.col(f"l{i}") + F.log(f"p{i}") + declared[i])).alias(f"o{i}") for i in range(n)))
-    rows = rows.withColumn("top", F.greatest(*(f"o{i}" for i in range(n))))
-    rows = rows.withColumn("confidence", F.round(1.0 / sum((F.exp(F.col(f"o{i}") - F.col("top")) for i in range(n)), F.lit(0.0)), 6))
-    rows = rows.withColumn("language", F.coalesce(*(F.when(F.col(f"o{i}") == F.col("top"), code) for i, code in enumerate(LANGUAGES))))
+    rows = posterior(rows.select("*", *((0.5 * (F.col(f"l{i}") + F.log(f"p{i}") + declared[i])).alias(f"o{i}") for i in range(n))))
     several = F.when(F.size("certain") > 1, F.col("certain")).otherwise(F.array(F.col("language")))
     return rows.select("tab", "rec_id", "label", "code", "language", "confidence", several.alias("languages"), "parts", "said")
 
 
+def posterior(rows: DataFrame) -> DataFrame:
+    """``rows`` with language and confidence from the log-odds o0 ..."""
+    n = len(LANGUAGES)
+    rows = rows.withColumn("top", F.greatest(*(f"o{i}" for i in range(n))))
+    rows = rows.withColumn("confidence", F.round(1.0 / sum((F.exp(F.col(f"o{i}") - F.col("top")) for i in range(n)), F.lit(0.0)), 6))
+    return rows.withColumn("language", F.coalesce(*(F.when(F.col(f"o{i}") == F.col("top"), code) for i, code in enumerate(LANGUAGES))))
+
+
+# --- segments ------------------------------------------------------------------------------------------------------
+
+_SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]*")
+_WORDS = re.compile(r"[一-鿿]{1,%d}|\S+" % LONGEST)
+#: What a change of language costs, in nats.
+CHANGE = 8.0
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The places of the sentences of a text, and of parts of ``LONGEST`` words where one is longer."""
+    out = []
+    for m in _SENTENCE.finditer(text):
+        words = [w.span() for w in _WORDS.finditer(text, m.start(), m.end())]
+        for k in range(0, len(words), LONGEST):
+            out.append((words[k][0], words[min(k + LONGEST, len(words)) - 1][1]))
+    return out
+
+
+def best_path(s: np.ndarray) -> np.ndarray:
+    """The most likely language of each sentence where a change between neighbours costs ``CHANGE``."""
+    total, back = s[0].copy(), []
+    for row in s[1:]:
+        stay, change = total, total.max() - CHANGE
+        back.append(np.where(stay >= change, np.arange(len(row)), total.argmax()))
+        total = np.maximum(stay, change) + row
+    path = [int(total.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return np.array(path[::-1])
+
+
+def segments(texts: DataFrame, hosts: list[str], model: Model | None = None) -> DataFrame:
+    """(tab, rec_id, segment, start, stop, language, confidence): the stretches of one language of each text with letters, in order,
+    with their places in the text (characters from 0, the end exclusive) and a confidence from words and host.
+
+    A language other than that of its neighbours needs a certain sentence, so foreign words, names and short phrases make no segment.
+    """
+    ship(texts.sparkSession)
+    model = train(texts) if model is None else model
+    keep = ["tab", "rec_id", "label", *hosts]
+    held = texts.sparkSession.sparkContext.broadcast(model)
+    patterns = unicode_patterns()
+    n = len(LANGUAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepare = Prepared(patterns)
+        model = held.value
+        for batch in batches:
+            where, columns = [], [[] for _ in range(3 + n)]
+            for i, text in enumerate(batch.column("__text").to_pylist()):
+                if not _LETTER.search(text):
+                    continue
+                places = stretches(text)
+                parts = [[t for t in prepare(text[a:b]) if t not in _MARKS] for a, b in places]
+                places = [p for p, words in zip(places, parts, strict=True) if words]
+                parts = [words for words in parts if words]
+                if not parts:
+                    places, s, path = [(0, len(text))], np.zeros((1, n)), np.zeros(1, int)
+                else:
+                    s, telling, han = scores(model, parts)
+                    best, sure = certain(s, telling, han)
+                    path = best_path(np.where(sure[:, None], s, 0.3 * s))
+                    # a run without a certain sentence of its language belongs to its neighbour
+                    for k in range(len(path)):
+                        if not any(sure[j] and best[j] == path[k] for j in _run_of(path, k)):
+                            path[k] = path[k - 1] if k else path[k]
+                cuts = [0, *(np.flatnonzero(np.diff(path)) + 1), len(path)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    where.append(i)
+                    for column, value in zip(columns, [k, places[a][0], places[b - 1][1], *s[a:b].sum(0)], strict=True):
+                        column.append(value)
+            kept = batch.take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(k) for k in keep), *(pa.array(c, pa.int32()) for c in columns[:3]), *(pa.array(c, pa.float64()) for c in columns[3:])],
+                [*keep, "segment", "start", "stop", *(f"l{i}" for i in range(n))],
+            )
+
+    source = texts.select(*keep, F.col("text").cast("string").alias("__text")).where(F.col("__text").isNotNull())
+    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keep)
+    rows = written(source.mapInArrow(run, f"{kinds}, segment int, start int, stop int, {', '.join(f'l{i} double' for i in range(n))}"), "segments")
+    # the soft counts of a segment, as those of a text
+    top = F.greatest(*(f"l{i}" for i in range(n)))
+    weight = sum((F.exp(F.col(f"l{i}") - top) for i in range(n)), F.lit(0.0))
+    rows = with_priors(rows.select("*", *((F.exp(F.col(f"l{i}") - top) / weight).alias(f"s{i}") for i in range(n))), hosts)
+    rows = posterior(rows.select("*", *((0.5 * (F.col(f"l{i}") + F.log(f"p{i}"))).alias(f"o{i}") for i in range(n))))
+    return rows.select("tab", "rec_id", "segment", "start", "stop", "language", "confidence")
+
+
+def _run_of(path: np.ndarray, k: int) -> range:
+    """The neighbours of a place with the same value, itself included."""
+    a, b = k, k + 1
+    while a and path[a - 1] == path[k]:
+        a -= 1
+    while b < len(path) and path[b] == path[k]:
+        b += 1
+    return range(a, b)
+
+
 def wrong_labels(found: DataFrame, least_said: int = 2) -> DataFrame:
-    """(tab, rec_id, language): texts of one language whose label is missing or names another, once; texts with sentences
-    in several languages, once for each."""
-    case = (F.size("languages") > 1) | ((F.col("code").isNull() | (F.col("code") != F.col("language"))) & (F.col("said") >= least_said))
-    return found.where(case).select("tab", "rec_id", F.explode("languages").alias("language"))
+    """(tab, rec_id, language): texts of one language whose label is missing, or names another by ``least_said`` telling words or
+    Chinese characters at least, once; texts with sentences in several languages, once for each."""
+    missing = F.col("code").isNull()
+    wrong = (F.col("code") != F.col("language")) & (F.col("said") >= least_said)
+    case = (F.size("languages") > 1) | missing | F.coalesce(wrong, F.lit(False))
+    # no filter before the explode: it would be pushed down and repeat the whole posterior in one function
+    return found.select("tab", "rec_id", F.explode_outer(F.when(case, F.col("languages"))).alias("language")).where("language is not null")

@@ -18,17 +18,22 @@ tables give no containers; a capacity below 1 is refused.
 from __future__ import annotations
 
 import base64
+import heapq
+import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.operators.joins import lookup
 from topicloom.session import ship, written
 
 TOKENIZERS = "/opt/tokenizers"
+#: White space that is counted apart.
+LONG_BLANKS = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: A container filled less than this is opened again by the second level.
 FULL = 0.97
 #: Tokens in a shard, about.
@@ -52,8 +57,14 @@ def token_counter(folder: str = TOKENIZERS, name: str = "byte_bpe_multi_50k.tikt
     encoding = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(text: str) -> int:
-        # very long runs without a break cost the tokenizer quadratic time; pieces of 100,000 characters bound that
-        return sum(len(encoding.encode_ordinary(text[i : i + 100_000])) for i in range(0, len(text), 100_000))
+        # the tokenizer's pattern fails on very long runs of white space: such a run, but for its last character before
+        # other text, is one piece of the pattern, so the text can be cut there without changing its tokens
+        total, at = 0, 0
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        return total + len(encoding.encode_ordinary(text[at:]))
 
     return count
 
@@ -83,48 +94,47 @@ class Queues:
         for queue in self.sizes.values():
             queue.sort()
         self.texts, self.left = texts, len(texts)
-        self.share = {s: shares.get(s, 0.0) for s in self.sizes}
+        self.share = {s: shares.get(s) or 0.0 for s in self.sizes}
         self.owed = {s: (owed or {}).get(s, 0.0) for s in self.sizes}
         self.carried = {s: v for s, v in (owed or {}).items() if s not in self.sizes}
-        self.smallest = min((q[0][0] for q in self.sizes.values()), default=0)
-
-    def take(self, room: int) -> tuple | None:
-        """The largest fitting text of the source that is owed most among those with a fitting text."""
-        if room < self.smallest:
-            return None
-        for source in sorted(self.order, key=self.owed.__getitem__, reverse=True):
-            queue = self.sizes[source]
-            k = bisect_right(queue, (room, 1 << 60)) - 1
-            if k >= 0:
-                size, n = queue.pop(k)
-                self.owed[source] -= size
-                self.left -= 1
-                if not queue:
-                    self.order.remove(source)
-                if size == self.smallest:
-                    self.smallest = min((self.sizes[s][0][0] for s in self.order), default=1 << 60)
-                return self.texts[n]
-        self.smallest = max(self.smallest, room + 1)
-        return None
 
     def fill(self, capacity: int) -> Iterator[list[tuple]]:
-        self.order = [s for s, q in self.sizes.items() if q]
+        """The containers. Sources wait in a heap by what they are owed; one without a fitting text is out of it until the next
+        container, since the room only shrinks."""
+        open_ = list(self.sizes)
         while self.left:
-            total = sum(self.share[s] for s in self.order) or 1.0
-            for s in self.order:
-                self.owed[s] += capacity * (self.share[s] / total if self.share[s] else 1.0 / len(self.order))
-            room, container = capacity, []
-            while room and (text := self.take(room)) is not None:
-                container.append(text)
-                room -= text[0]
-            self.smallest = min((self.sizes[s][0][0] for s in self.order), default=1 << 60)
+            total = sum(self.share[s] for s in open_)
+            for s in open_:
+                # where no source left has a share, all have the same
+                self.owed[s] += capacity * (self.share[s] / total if total else 1.0 / len(open_))
+            room, container, emptied = capacity, [], False
+            heap = [(-self.owed[s], k) for k, s in enumerate(open_)]
+            heapq.heapify(heap)
+            while room and heap:
+                _, k = heap[0]
+                source = open_[k]
+                queue = self.sizes[source]
+                at = bisect_right(queue, (room, 1 << 60)) - 1
+                if at < 0:
+                    heapq.heappop(heap)
+                    emptied = emptied or not queue
+                    continue
+                size, n = queue.pop(at)
+                self.owed[source] -= size
+                self.left -= 1
+                room -= size
+                container.append(self.texts[n])
+                emptied = emptied or not queue
+                heapq.heapreplace(heap, (-self.owed[source], k))
+            if emptied:
+                open_ = [s for s in open_ if self.sizes[s]]
             yield container
 
 
 PIECES = "limit_id int, capacity int, level int, shard int, container int, place int, id {0}, source string, piece int, first_token bigint, tokens bigint"
 
 
-def _packer(level: int, shares: dict, full: float):
+def _packer(level: int, full: float):
     """A function of one shard's texts: containers that are full enough, and the texts of the others with container -1.
 
     Deficits at the end of a first-level shard come out as rows with piece -1.
@@ -134,6 +144,7 @@ def _packer(level: int, shares: dict, full: float):
         capacity, limit, shard = int(f.capacity.iloc[0]), int(f.limit_id.iloc[0]), int(f.shard.iloc[0])
         owed_rows = f[f.piece == -1]
         f = f[f.piece >= 0].sort_values(["id", "piece", "tokens"], kind="stable")
+        shares = {(None if s is None or s != s else s): v for s, v in zip(f.source, f.share, strict=True)}
         owed = {(None if pd.isna(s) else s): v for s, v in owed_rows.groupby("source", dropna=False).tokens.sum().items()}
         texts = [(int(t), None if s is None or s != s else s, i, int(p), int(a)) for t, s, i, p, a in zip(f.tokens, f.source, f.id, f.piece, f.first_token, strict=True)]
         queues, out, number = Queues(texts, shares, owed), [], 0
@@ -164,10 +175,9 @@ def pack(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "tex
     if kind not in ("bigint", "int", "string"):
         raise ValueError("the key must be an integer or a string")
     sized = written(measured(df, key, text, source, folder), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "source")
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    if shares is None:  # the sources beyond the 10,000 largest share what is left
-        shares = {r.source: r.n / total for r in totals.limit(10_000).collect()} if total else {}
+    natural = _natural_shares(sized, total) if shares is None else None
+    sized = _with_shares(sized, shares, natural)
     shards = max(1, -(-total // SHARD_TOKENS))
     # full pieces of over-long texts and one rest; texts that fit are one piece
     pieces = _with_limits(sized, capacities)
@@ -175,16 +185,39 @@ def pack(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "tex
     pieces = pieces.withColumn("first_token", F.col("piece").cast("bigint") * F.col("capacity")).withColumn("tokens", F.least(F.col("tokens") - F.col("first_token"), F.col("capacity").cast("bigint")))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
     schema = PIECES.format(kind)
-    pack_columns = ["limit_id", "capacity", "shard", "id", "source", "piece", "first_token", "tokens"]
-    first = written(pieces.select(*pack_columns).groupBy("limit_id", "shard").applyInPandas(_packer(1, shares, FULL), schema), "packed")
+    pack_columns = ["limit_id", "capacity", "shard", "id", "source", "share", "piece", "first_token", "tokens"]
+    first = written(pieces.select(*pack_columns).groupBy("limit_id", "shard").applyInPandas(_packer(1, FULL), schema), "packed")
     rest = first.where("container = -1")
     per = rest.groupBy("limit_id").agg(F.count(F.lit(1)).alias("n"))
     groups = max([1, *(-(-r.n // REST_TEXTS) for r in per.collect())])
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.when(F.col("piece") < 0, F.col("shard"))), F.lit(groups)).cast("int")).select(*pack_columns)
-    second = rest.groupBy("limit_id", "shard").applyInPandas(_packer(2, shares, FULL), schema)
+    rest = _with_shares(rest, shares, natural).withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.when(F.col("piece") < 0, F.col("shard"))), F.lit(groups)).cast("int")).select(*pack_columns)
+    second = rest.groupBy("limit_id", "shard").applyInPandas(_packer(2, FULL), schema)
     return first.where("container >= 0").unionAll(second).withColumnRenamed("id", key)
 
 
+def _source_key() -> list[Column]:
+    return [F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__name")]
+
+
+def _natural_shares(sized: DataFrame, total: int) -> DataFrame:
+    """The part of all tokens that each source has."""
+    sums = sized.select(*_source_key(), "tokens").groupBy("__null", "__name").agg((F.sum("tokens") / F.lit(float(max(1, total)))).alias("share"), F.count(F.lit(1)).alias("__n"))
+    return written(sums, "shares")
+
+
+def _with_shares(rows: DataFrame, shares: dict | None, natural: DataFrame | None) -> DataFrame:
+    """``rows`` with the target share of their source: a given one, 0 where none is given, or the natural one.
+
+    However many sources there are, each brings its own share into the shards where it has texts.
+    """
+    if natural is not None:
+        return lookup(rows.select("*", *_source_key()), natural, ["__null", "__name"], "__n", "left").drop("__null", "__name", "__n")
+    share = F.lit(0.0)
+    for source, v in shares.items():
+        share = F.when(F.col("source").eqNullSafe(F.lit(source)), float(v)).otherwise(share)
+    return rows.withColumn("share", share)
+
+
 def _with_limits(sized: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """Each text once for each capacity, by exploding a short literal array."""
     options = F.array(*(F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity")) for i, c in capacities))
@@ -202,3 +235,17 @@ def mixture(packed: DataFrame, window: int = 64) -> DataFrame:
     rows = packed.withColumn("window", F.floor(F.col("container") / window))
     w = Window.partitionBy("limit_id", "level", "shard", "window")
     return rows.groupBy("limit_id", "level", "shard", "window", "source").agg(F.sum("tokens").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(w)).drop("n")
+
+
+def deviations(packed: DataFrame, shares: dict, window: int = 64) -> DataFrame:
+    """(limit_id, level, shard, window, lasting, deviation): by how much the mixture of a window misses the target, as the
+    largest difference of a source's share; ``lasting`` tells whether every source with a target still has texts for a later window."""
+    key = ["limit_id", "level", "shard"]
+    got = mixture(packed, window)
+    per = got.groupBy(*key, "window").agg(F.map_from_arrays(F.collect_list(F.coalesce("source", F.lit("<null>"))), F.collect_list("share")).alias("m"))
+    last = got.groupBy(*key, "source").agg(F.max("window").alias("last")).where(F.coalesce("source", F.lit("<null>")).isin(*(s if s is not None else "<null>" for s in shares)))
+    lasts = last.groupBy(*key).agg(F.min("last").alias("last"), F.count(F.lit(1)).alias("present"))
+    worst = F.greatest(*(F.abs(F.coalesce(F.element_at("m", s if s is not None else "<null>"), F.lit(0.0)) - F.lit(float(v))) for s, v in shares.items()), F.lit(0.0))
+    rows = per.withColumn("deviation", F.round(worst, 6)).join(lasts, key, "left")
+    lasting = (F.coalesce("present", F.lit(0)) == len(shares)) & (F.col("window") < F.col("last"))
+    return rows.select(*key, "window", F.coalesce(lasting, F.lit(False)).alias("lasting"), "deviation")

@@ -29,6 +29,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.same_look_pairs(all_texts(spark, sf_dir))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that looks like a different string, with its class: ``p3_found`` in one row a text."""
+    return visual.same_look_classes(all_texts(spark, sf_dir))
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in its one form."""
     return visual.visual_form(all_texts(spark, sf_dir), "text", ["tab", "rec_id"])
@@ -49,6 +54,11 @@ def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_labelled(spark, sf_dir), ["host", "part"])
 
 
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language of every text, with its place and confidence."""
+    return language.segments(_labelled(spark, sf_dir), ["host", "part"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(all_texts(spark, sf_dir), "text", ["tab", "rec_id"]).select("tab", "rec_id")
 
@@ -77,6 +87,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_pack(spark, sf_dir))
 
 
+#: Target parts of all tokens by kind of document, unlike those of the corpus.
+MIXTURE = {"comment": 0.15, "review": 0.35, "article": 0.35, "transcript": 0.15}
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much each window of containers misses a given mixture of kinds of documents."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"), source="doc_kind", shares=MIXTURE)
+    return packing.deviations(packed, MIXTURE)
+
+
 def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document and leaked item the longest verbatim match and its place."""
     return leakage.matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
@@ -102,7 +122,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_records, p3_found, p3_forms, p4_found, p4_languages, p5_found, p5_restored, p6_found, p6_counts, p7_pack, p7_fill, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)
+    for f in (p2_found, p2_records, p3_found, p3_classes, p3_forms, p4_found, p4_languages, p4_segments, p5_found, p5_restored, p6_found, p6_counts, p7_pack, p7_fill, p7_mixture, p8_found, p8_matches, p8_clean, p9_found, p9_redacted)
 }
 
 _ESSENCE = "nullif(regexp_replace(replace(lower(upper({0})), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g'), '')"

@@ -32,13 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.texts import map_text
+from topicloom.operators.joins import lookup
 from topicloom.session import written
 
-# Letters of other scripts and hyphens that display like the ASCII character before the colon.
+#: Rows of one string from which on they are spread over so many parts to be paired.
+HOT_STRING, SPREAD = 50_000, 64
+# Letters of other scripts and hyphens that display like the ASCII character before the colon: Cyrillic, Greek,
+# Armenian, phonetic and small capital letters, Coptic, Cherokee and Lisu.
 LOOK_ALIKES = """
-a:а  c:сϲ  d:ԁ  e:е  g:ɡ  h:һ  i:і  j:јϳ  n:ո  o:оοօ  p:рρ  q:ԛ  s:ѕ  u:ս  v:νѵ  w:ԝ  x:х  y:уү
-A:АΑ  B:ВΒ  C:СϹ  E:ЕΕ  G:Ԍ  H:НΗ  I:ІΙӀ  J:ЈͿ  K:КΚ  M:МΜ  N:Ν  O:ОΟՕ  P:РΡ  Q:Ԛ  S:ЅՏ  T:ТΤ  W:Ԝ  X:ХΧ  Y:ΥҮ  Z:Ζ
--:‐‑−˗⁃
+a:аɑα  b:ƅᏏ  c:сϲⲥᴄꮯ  d:ԁᏧ  e:е  g:ɡց  h:һհᏂ  i:іɩιᎥ  j:јϳ  l:ӏ  n:ո  o:оοօⲟᴏσ  p:рρⲣ  q:ԛզ  s:ѕꜱꮪ  u:սʋᴜυ  v:νѵᴠꮩ  w:ԝᴡꮃ  x:хⲭ  y:уүʏγ  z:ᴢꮓ
+A:АΑᎪꓮⲀ  B:ВΒᏴꓐⲂ  C:СϹᏟꓚⲤ  D:Ꭰꓓ  E:ЕΕᎬꓰ  F:Ϝꓝ  G:ԌᏀꓖ  H:НΗᎻꓧⲎ  I:ІΙӀꓲⲒ  J:ЈͿᎫꓙ  K:КΚᏦꓗⲔ  L:ᏞԼꓡ  M:МΜᎷꓟⲘ  N:Νꓠⲛ  O:ОΟՕꓳⲞ  P:РΡᏢꓑⲢ  Q:Ԛ  R:Ꭱꓣ  S:ЅՏᏚꓢ
+T:ТΤᎢꓔⲦ  U:Սꓴ  V:ѴᏙꓦ  W:ԜᎳꓪ  X:ХΧꓫⲬ  Y:ΥҮꓬⲨ  Z:ΖᏃꓜ
+-:‐‑−˗⁃֊
 """
 # Characters outside the format category that nevertheless show nothing.
 ALSO_INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
@@ -112,9 +117,13 @@ def rewriting(counts: dict[int, int]) -> dict[str, str]:
             canonical = unicodedata.normalize("NFD", ch)
             if len(canonical) > 1 and all(p in parts for p in canonical):
                 whole.union(canonical, ch)
+    def follows(m: str) -> bool:
+        # an accented letter can only stand for its class if its parts stand for theirs
+        return all(of.get(p, p) == p for p in unicodedata.normalize("NFD", m))
+
     out = {}
     for members in whole.members().values():
-        rep = best(members)
+        rep = best([m for m in members if follows(m)] or members)
         out |= {m: rep for m in members if m and m != rep}
     return out
 
@@ -200,22 +209,50 @@ def hashed_forms(df: DataFrame, text: str, keep: list[str], patterns: dict[str,
     return map_text(df, text, {"f1": T.LongType(), "f2": T.LongType(), "th": T.LongType()}, make, keep)
 
 
+def _looks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, looks): tab, rec_id and the hashes of form and text of each row with letters; and of the looks with different strings
+    their rows n, strings and smallest rec_id."""
+    patterns = rewriting(count_code_points(texts))
+    rows = written(hashed_forms(texts, "text", ["tab", "rec_id"], patterns), "looks")
+    # the strings of a look first: rows of one string, however many, end on the map side
+    strings = rows.groupBy(*LOOK, "th").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first"))
+    looks = strings.groupBy(*LOOK).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("strings"), F.min("first").alias("class_id")).where("strings > 1")
+    return rows, written(looks, "mixed")
+
+
+LOOK = ["tab", "f1", "f2"]
+
+
+def same_look_classes(texts: DataFrame) -> DataFrame:
+    """(tab, rec_id, class_id, members, strings): for each text that looks like a different string its class, named by its smallest
+    rec_id, with the rows and the different strings in it. Its size is that of the input, whatever the classes."""
+    rows, looks = _looks(texts)
+    return lookup(rows, looks, LOOK, "n").select("tab", "rec_id", "class_id", F.col("n").alias("members"), "strings")
+
+
 def same_look_pairs(texts: DataFrame) -> DataFrame:
     """(tab, id_a, id_b) of texts (tab, rec_id, text) that look the same but aren't the same string.
 
-    Groups of one string only, however large, end at an aggregate of two hashes. Pairs are formed between the different
-    strings of a look first and then spread to their rows, so rows with equal strings never meet.
+    All pairs are asked for, so the result grows with the square of a class; ``same_look_classes`` says the same in one
+    row a text. Pairs are formed between the different strings of a look first and then spread to their rows, so rows
+    with equal strings never meet. A string with very many rows is spread over ``SPREAD`` parts, which the other side of the pair is copied to.
     """
-    patterns = rewriting(count_code_points(texts))
-    rows = written(hashed_forms(texts, "text", ["tab", "rec_id"], patterns), "looks")
-    key = ["tab", "f1", "f2"]
-    mixed = rows.groupBy(*key).agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select(*key)
-    rows = rows.join(mixed, key, "left_semi")
-    strings = rows.select(*key, "th").distinct()
-    pairs = strings.withColumnRenamed("th", "th_a").join(strings.withColumnRenamed("th", "th_b"), key).where("th_a < th_b")
-    a = rows.select(*key, F.col("th").alias("th_a"), F.col("rec_id").alias("a"))
-    b = rows.select(*key, F.col("th").alias("th_b"), F.col("rec_id").alias("b"))
-    spread = pairs.join(a, [*key, "th_a"]).join(b, [*key, "th_b"])
+    rows, looks = _looks(texts)
+    rows = written(lookup(rows, looks.select(*LOOK, "n"), LOOK, "n").select(*LOOK, "th", "rec_id"), "alike")
+    strings = rows.groupBy(*LOOK, "th").agg(F.count(F.lit(1)).alias("k"))
+    pairs = strings.select(*LOOK, F.col("th").alias("th_a"), F.col("k").alias("k_a")).join(strings.select(*LOOK, F.col("th").alias("th_b"), F.col("k").alias("k_b")), LOOK).where("th_a < th_b")
+    # a pair of strings once for each part that the rows of its strings are spread over
+    parts = F.sequence(F.lit(0), F.when(F.greatest("k_a", "k_b") > HOT_STRING, F.lit(SPREAD - 1)).otherwise(F.lit(0)))
+    pairs = pairs.withColumn("wide", F.greatest("k_a", "k_b") > HOT_STRING).withColumn("a_wide", F.col("k_a") >= F.col("k_b")).withColumn("part", F.explode(parts))
+    narrow = pairs.where("not wide")
+    a = rows.select(*LOOK, F.col("th").alias("th_a"), F.col("rec_id").alias("a"))
+    b = rows.select(*LOOK, F.col("th").alias("th_b"), F.col("rec_id").alias("b"))
+    plain = narrow.join(a, [*LOOK, "th_a"]).join(b, [*LOOK, "th_b"]).select("tab", "a", "b")
+    wide = pairs.where("wide")
+    salted_a, salted_b = a.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(SPREAD)).cast("int")), b.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    one = wide.where("a_wide").join(salted_a, [*LOOK, "th_a", "part"]).join(b, [*LOOK, "th_b"]).select("tab", "a", "b")
+    two = wide.where("not a_wide").join(salted_b, [*LOOK, "th_b", "part"]).join(a, [*LOOK, "th_a"]).select("tab", "a", "b")
+    spread = plain.unionByName(one).unionByName(two)
     return spread.select("tab", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
