@@ -7,7 +7,7 @@ from collections import Counter
 import pandas as pd
 import pytest
 
-from topicloom.operators import corpus, evolution, models, phrases, topics
+from topicloom.operators import academic, corpus, evolution, models, phrases, topics
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +71,10 @@ def test_topics(spark):
     assert rows(topics.top_words(words, 2), "rank", "word") == [(1, "c"), (2, "a")]
     assert sum(r.weight for r in topics.normalized(words).collect()) == pytest.approx(1)
     lists = spark.createDataFrame([(3, ["capsule", "que", "los", "las"]), (4, ["robot", "desk"]), (5, [])], "topic_id int, words array<string>")
-    assert rows(topics.named(lists), "short_name") == [("T03_MULTI_Spanish_Capsule_Stay",), ("T04_EN_Robot_Staff",), ("T05_EN_Mixed",)]
+    assert rows(topics.named(lists), "short_name") == [("T03_MULTI_Spanish_Mixed_Travel_Commentary",), ("T04_EN_Mixed_Travel_Commentary",), ("T05_EN_Mixed_Travel_Commentary",)]
+    lists = spark.createDataFrame([(0, ["robot", "job"]), (1, ["robot", "coffee"]), (2, ["Yang", "dan", "KITA", "yen"]), (3, ["x"] * 15 + ["news"])], "topic_id int, words array<string>")
+    assert rows(topics.named(lists), "short_name") == [("T00_EN_Robot_vs_Human_Service_Jobs_Future",), ("T01_EN_Kagoshima_RobotFrontDesk_Dialogue_ServiceRants",), ("T02_MULTI_Malay_Indonesian_Tokyo_Japan_Travel_Vlog",), ("T03_EN_Mixed_Travel_Commentary",)]
+    assert "[('Malay/Indonesian', 3)]" in topics.named(lists).where("topic_id = 2").first().description
 
 
 def test_known_shares(spark):
@@ -92,13 +95,14 @@ def test_evolution(spark):
     assert rows(evolution.edges(rows_, none, 0.5), "source_topic", "target_topic", "value") == [(0, 0, 2.0)]
 
 
-def test_turning_point():
+def test_turning_point(spark):
     ks = [3, 4, 5, 6, 7, 8, 9, 10, 12, 15]
     pp = [886.626, 849.631, 847.753, 849.234, 848.221, 847.995, 848.989, 854.190, 845.440, 849.639]
     cv = [0.28712, 0.27498, 0.28437, 0.30543, 0.42733, 0.40100, 0.47739, 0.43222, 0.44706, 0.45009]
-    got = models.turning_point([{"K": k, "perplexity": p, "coherence_cv": c} for k, p, c in zip(ks, pp, cv, strict=True)])
-    assert got == {"cv_knee_K": 9, "perplexity_elbow_K": 4, "cv_best_K": 9, "perplexity_best_K": 12, "first_big_cv_jump_at_pair": (6, 7), "recommended_K_composite": 6}
-    assert models.turning_point([]) == {}
+    sweep = spark.createDataFrame([*zip(ks, pp, cv, strict=True), (20, None, 0.9), (21, 1.0, float("nan"))], "K int, perplexity double, coherence_cv double")
+    got = models.turning_points(sweep).collect()
+    assert [r.asDict() for r in got] == [{"cv_knee_K": 9, "perplexity_elbow_K": 4, "cv_best_K": 9, "perplexity_best_K": 12, "jump_from": 6, "jump_to": 7, "recommended_K_composite": 6}]
+    assert models.turning_points(sweep.limit(3)).count() == 0 and models.turning_points(sweep.limit(0)).count() == 0
 
 
 def test_planted_topics_are_found(spark):
@@ -127,11 +131,56 @@ def test_planted_topics_are_found(spark):
 
 def test_academic_pipeline(spark):
     df = spark.createDataFrame([(i, f"The beautiful robot hotels were amazing #{i} https://x.y and capsule rooms") for i in range(12)], "id int, text string")
-    got = corpus.preprocess_academic(df, "id", "text", preset={"df_no_below": 2, "df_no_above": 1.0, "ngram_min_count": 50})
-    assert got.first().tokens[:2] == ["beautiful", "robot"]
+    got = academic.preprocess(df, "id", "text", "en", {"df_no_below": 2, "df_no_above": 1.0, "ngram_min_count": 50})
+    assert got.tokens.first().tokens[:2] == ["beautiful", "robot"]
     assert "robot" in corpus.preprocess(df, "id", "text").first().tokens
 
 
+def test_academic_report_and_frame(spark):
+    texts = ["The t echnology of ospitality robots is amazing", "robots in a capsule", None, "", "robots robots"]
+    df = spark.createDataFrame([(1, t, "x") for t in texts], "id int, text string, text_preprocessed_academic string")
+    frame, report = academic.preprocess_for_lda(df, {"df_no_below": 1, "df_no_above": 1.0, "ngrams": False, "language": "en"}, ["Capsule!"], "en")
+    assert frame.columns == ["id", "text", "__text_col_used", "text_preprocessed_academic", "text_preprocessed_academic_tokens", "text_preprocessed_academic_token_count"]
+    got = {r.text: (r.text_preprocessed_academic_tokens, r.text_preprocessed_academic_token_count) for r in frame.collect()}
+    assert got == {texts[0]: ("technology hospitality robot", 3), texts[1]: ("robot", 1), None: ("", 0), "": ("", 0), texts[4]: ("robot robot", 2)}
+    r = report.first()
+    assert (r.language, r.input_docs, r.non_empty_docs, r.total_tokens, r.kept_vocab, r.stopwords_removed, r["_meta_text_col"], r["_meta_n_rows"]) == ("en", 5, 3, 6, 3, 1, "text", 5)
+    assert r.dropped_too_short == 5 and r.pos_noun == 6 + 1 and r.pos_dropped == 1 and r.avg_tokens == 2.0
+    with pytest.raises(ValueError, match="rows"):
+        academic.preprocess_for_lda(df.limit(0))
+    auto, _ = academic.preprocess_for_lda(df.drop("id"), {"df_no_below": 1, "df_no_above": 1.0})
+    assert auto.count() == 5
+    zh = academic.preprocess(spark.createDataFrame([(1, "酒店機場很好 房"), (2, "酒店")], "id int, t string"), "id", "t", "zh", {"df_no_below": 1, "df_no_above": 1.0, "ngrams": False})
+    assert sorted(t for r in zh.tokens.collect() for t in r.tokens) == ["很好", "机场", "酒店", "酒店"]
+    # a named preset's lengths hold for Chinese too
+    assert all(not r.tokens for r in academic.preprocess(spark.createDataFrame([(1, "酒店")], "id int, t string"), "id", "t", "zh", "paper").tokens.collect())
+
+
+def test_filters_beyond_the_held_list(spark, docs, monkeypatch):
+    from topicloom.operators import joins
+
+    more = docs.union(docs.limit(1)).union(spark.createDataFrame([(7, None)], "id int, tokens array<string>"))
+    def kept(how):
+        return sorted(map(str, corpus.keep_tokens(more, "id", spark.createDataFrame([("a",), ("c",), ("c",)], "token string"), how).collect()))
+
+    want = [kept("left_semi"), kept("left_anti")]
+    assert len(want[0]) == 6 and "tokens=['a', 'a']" in want[0][0]
+    monkeypatch.setattr(corpus, "HELD_TOKENS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    assert [kept("left_semi"), kept("left_anti")] == want
+
+
+def test_numbers_in_order_without_one_task(spark):
+    rng = random.Random(3)
+    keys = [rng.randrange(40) for _ in range(300)] + [7] * 150 + [None] * 3
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, rn0 int")
+    got = sorted((r.rn, r.k) for r in models.numbered(df, "k").collect())
+    assert [n for n, _ in got] == list(range(1, 454)) and [k for _, k in got] == sorted(keys, key=lambda k: -1 if k is None else k)
+    assert models.ordered_split(df, "k").where("train").count() == 362
+    assert models.numbered(df.limit(0), "k").count() == 0
+
+
 @pytest.mark.parametrize("batch", [False, True])
 def test_a_pass_reads_every_document(spark, batch):
     # each document has a word of its own; unread, it keeps its start, about 1 for each topic

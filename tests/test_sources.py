@@ -16,6 +16,20 @@ def test_csv_in_any_encoding(spark, tmp_path, encoding):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'café; "x"'), (2, "naïve “€”")]
 
 
+@pytest.mark.parametrize(("raw", "want"), [
+    ("a;é".encode("utf-16"), ("a;é", "utf-16")), ("abcé".encode("utf-16-be"), ("abcé", "utf-16-be")), (b"caf\xe9 \x93x", ("café “x", "cp1252")), (b"\x81\xe9", ("\x81é", "latin1")), ("日本é".encode()[:-1], ("日本\ufffd", "utf-8")), (b"", ("", "utf-8")), (b"\xef\xbb\xbfx", ("x", "utf-8-sig")),
+])
+def test_decoded(raw, want):
+    assert readers.decoded(raw) == want
+
+
+def test_large_files_are_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,t\n" + "\n".join(f'{i},"x ""{i}"""' for i in range(50)))
+    (tmp_path / "b.csv").write_text('id,t\n1,"x\ny"\n2,z\n')
+    assert readers.read_csv(spark, f"file://{tmp_path}/a.csv").count() == 50
+    assert [r.t for r in readers.read_csv(spark, f"file://{tmp_path}/b.csv").orderBy("id").collect()] == ["x\ny", "z"]
+
+
 def test_pasted(spark):
     assert readers.read_pasted(spark, "a\n\n b ").columns == ["text"]
     assert readers.read_pasted(spark, "a\tb,c\n1\t2").columns == ["a", "b,c"]
@@ -54,6 +68,12 @@ def test_outputs(spark, tmp_path):
     assert not [k for k in out if k.endswith("_error")]
     assert (tmp_path / "o/topic_dictionary_K1.csv").read_bytes().startswith(b"\xef\xbb\xbf")
     assert json.loads((tmp_path / "o/run_summary_K1.json").read_text())["topic_dictionary"] == [{"topic_id": 0, "num_docs_assigned": 2}]
+    assert "DocAssignments_K1" in sheets((tmp_path / "o/topics_K1.xlsx").read_bytes())
+    assert next((tmp_path / "o/doc_assignments_K1").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfid,text")
+    words = spark.createDataFrame([(0, w, 0.1 * i) for i, w in enumerate("abcdefg", 1)], "topic_id int, word string, weight double")
+    named = dictionary.withColumn("topic_short_name", F.lit("a name"))
+    assert "salient" in sinks.write_all(tmp_path / "q", named, docs, stats, 1, words=words)
+    assert [(r.rank, r.word, r.share) for r in sinks.top_words_grid(named, words).collect()] == [(i, w, 1.0) for i, w in enumerate("gfedc", 1)]
     broken = sinks.write_all(tmp_path / "p", dictionary, docs.select(F.expr("array(1) AS a")), stats, 1)
     assert "documents_error" in broken and "dictionary" in broken
     named = sinks.with_topics(docs, "id", spark.createDataFrame([(1, 4, 0.5)], "id int, topic_id int, score double"), spark.createDataFrame([], "topic_id int, name string"))

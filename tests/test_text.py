@@ -41,9 +41,38 @@ def test_clean_and_accents(spark):
     assert one(spark, "這個 hotel 很好", lambda c: text.clean(c, "zh")) == "这个 很好"
     assert one(spark, "Ñandú á", lambda c: text.strip_accents(c, True)) == "Ñandu a"
     assert one(spark, "Ñandú", text.strip_accents) == "Nandu"
-    assert "grinning face" in one(spark, "hi 😀", text.emoji_words)
+    assert one(spark, "hi 😀 ❤️ 👍", text.emoji_words) == "hi 开心 爱 点赞"
+    assert "grinning face" in one(spark, "hi 😀", lambda c: text.emoji_words(c, words={}))
 
 
+@pytest.mark.parametrize(("raw", "want"), [
+    ("a great e xperience with t echnology", "a great experience with technology"), ("the xperience was cellent", "the experience was excellent"), ("ho tel ex ample te chnology", "hotel example technology"), ("samples of expression", "samples of expression"),
+])
+def test_cut_words(spark, raw, want):
+    assert one(spark, raw, lambda c: text.clean(c, "en")) == want
+
+
+def test_lemmas():
+    assert [text.lemma_cleaner("en")(w) for w in ("Café", "xciting", "pressed", "hotel's")] == ["cafe", "exciting", "expressed", "hotels"]
+    assert [text.lemma_cleaner("es")(w) for w in ("habitación", "abitacion", "Niño")] == ["habitacion", "habitacion", "niño"]
+    assert text.lemma_cleaner("zh")("酒店a1") == "酒店"
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("cafÃ© â‚¬5 naÃ¯ve", "café €5 naïve"), ("cafÃƒÂ©", "café"), ("itâ€™s straÃŸe", "it’s straße"), ("ATENÇÃO “É” café", "ATENÇÃO “É” café"), (None, ""), ("plain", "plain"), ("å¥½é…’åº—", "好酒店"),
+])
+def test_mojibake(spark, raw, want):
+    assert one(spark, raw, text.fix_mojibake) == want
+
+
+def test_sql_functions(spark):
+    from topicloom.functions import register
+
+    assert "tokens" in register.register(spark)
+    row = spark.sql("SELECT normalize_text('Visit @me NOW #x 酒店!') AS a, strip_accents_text('Ñandú') AS b, fix_mojibake_text('cafÃ©') AS c, snippet_text(' a \n b ') AS d, normalize_text(NULL) AS e").first()
+    assert tuple(row) == ("visit now 酒店", "Nandu", "café", "a b", "")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tokens('the Robot 42')").collect()] == [(0, "the"), (1, "robot"), (2, "42")]
+
 def test_compose(spark):
     rows = [(1, "A", "a b"), (2, "A", "b"), (3, None, " c "), (4, "t", None), (5, None, None), (6, "", "  ")]
     df = spark.createDataFrame(rows, "id int, Title string, content string")
@@ -67,11 +96,18 @@ def test_language(spark):
     assert language.detect_academic(df, "id", "t").first().language == "es"
 
 
-def test_lexicon(spark):
+def test_lexicon(spark, monkeypatch):
     long = spark.createDataFrame([(1, i, w) for i, w in enumerate(["hotel"] * 50 + ["hote", "otel", "zzz"])], "doc int, pos int, token string")
     words = lexicon.zipf_table(long)
     fixed = lexicon.repaired(long, words, lexicon.spelling_index(words), 8.9)
     assert {(r.token, r.repaired) for r in fixed.where("token <> repaired").collect()} == {("hote", "hotel"), ("otel", "hotel")}
+    df = spark.createDataFrame([(1, ["hote", "zzz"]), (1, None)], "doc int, tokens array<string>")
+    table = lexicon.corrections(words, words, lexicon.spelling_index(words), 8.9)
+    want = [(1, ["hotel", "zzz"]), (1, [])]
+    assert [tuple(r) for r in lexicon.mend(df, "doc", table).collect()] == want
+    with monkeypatch.context() as m:
+        m.setattr(lexicon, "HELD_WORDS", 0)
+        assert sorted(map(tuple, lexicon.mend(df, "doc", table).collect()), reverse=True) == want
     merged = lexicon.merge_prefixes(spark.createDataFrame([(1, 0, "ho"), (1, 1, "tel"), (1, 2, "ho")], "doc int, pos int, token string"), "doc", ["ho"], words)
     assert sorted(r.token for r in merged.collect()) == ["ho", "hotel"]
 

@@ -62,15 +62,17 @@ def rules(language: str) -> Annotator:
     return lambda texts: [one(t) for t in texts]
 
 
-def annotate(df: DataFrame, text: str, make: Callable[[], Annotator], out: str = "tagged") -> DataFrame:
-    """Add the tagged tokens of a text column; null texts have none."""
+def annotate(df: DataFrame, text: str, make: Callable[[], Annotator], out: str = "tagged", clean: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """Add the tagged tokens of a text column; null texts have none. ``clean`` makes the function that every lemma goes
+    through, or its text where the annotator gives no lemma."""
     ship(df.sparkSession)
 
     @F.pandas_udf(TAGGED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         annotator = make()
+        cleaner = clean() if clean else lambda w: w
         for s in batches:
             tagged = annotator(s.fillna("").tolist())
-            yield pd.Series([[{"text": a, "pos": b, "lemma": c} for a, b, c in row] for row in tagged])
+            yield pd.Series([[{"text": a, "pos": b, "lemma": cleaner(c if c and c.strip() else a)} for a, b, c in row] for row in tagged])
 
     return df.withColumn(out, run(F.col(text)))

@@ -23,18 +23,58 @@ CJK = r"\x{4e00}-\x{9fff}"
 #: Word pairs that are joined to one token after normalising; a parameter everywhere.
 COLLOCATIONS = ("las vegas", "casa playa")
 
-# Western emoticons with eyes of punctuation, a nose at most, and a mouth; then hearts and caret eyes.
-EMOTICON = r"[:;=][\-o\*']?[\)\]\(\[dDpP/:\}\{@\|\\3]"
+# Western emoticons of eyes, a nose at most, and a mouth; hearts; caret eyes; faces between brackets or without.
+EMOTICON = r"[:;=8xX][\-~^oO]?[DPp)(\]\[\\/|3O0*]"
 HEARTS = r"<3+"
-CARETS = r"\^_*\^"
+CARETS = r"\^\^"
+KAOMOJI = r"[（(]?[>﹡\*＠#・.。~\-_^・][_\-~\.]?[TtOo0\^><DdpPqQ_\-~][)）]?"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
-#: The wider patterns that also hit letters inside words ("xp" in "experience", "-o" in "check-out").
-EMOTICON_WIDE = r"[:;=8xX][\-o\*']?[\)\]\(\[dDpP/:\}\{@\|\\30]"
-KAOMOJI_WIDE = r"[\-._~][todpq0]"
 
-# Traditional characters and their simplified forms, pair by pair; a sample of the most frequent.
-TRADITIONAL = "個們來這時會說對為國學後還過發經開見長門問間關電點樣話書車東語讀寫買賣錢飯館機場飛遠運邊請謝讓訂價貴歡樂聽廳樓層櫃檯台灣"
-SIMPLIFIED = "个们来这时会说对为国学后还过发经开见长门问间关电点样话书车东语读写买卖钱饭馆机场飞远运边请谢让订价贵欢乐听厅楼层柜台台湾"
+# Traditional characters and below them their simplified forms; a parameter of ``simplify``, for a fuller map.
+TRADITIONAL = (
+    "這邊還說點裡裏個們麼對會來過時長開門間關係員動電視燈風機東買賣讀覺錯錢銀飲館務衛態體驗燒餅雞鴨魚蝦貝葉醬麵鹽豐適牀鋪飯廳後單雙層潔淨氣溫熱親響歡認為難簡準備價評論確實現訂寬"
+    "靜雜亂舊裝設計齊專業禮環優購娛樂灑壓穩龍頭壞損異髮漬塵網螞蟻蠅蟲滅騷擾聲夢遊兒戲區嬰議請覽聞發佈處燙遞車場調獨統頻節線絡帶無號強碼錄櫃險費膠壺礦罐乾類紅煙鎖監樓應廣語韓訴總滿薦選"
+)
+SIMPLIFIED = (
+    "这边还说点里里个们么对会来过时长开门间关系员动电视灯风机东买卖读觉错钱银饮馆务卫态体验烧饼鸡鸭鱼虾贝叶酱面盐丰适床铺饭厅后单双层洁净气温热亲响欢认为难简准备价评论确实现订宽"
+    "静杂乱旧装设计齐专业礼环优购娱乐洒压稳龙头坏损异发渍尘网蚂蚁蝇虫灭骚扰声梦游儿戏区婴议请览闻发布处烫递车场调独统频节线络带无号强码录柜险费胶壶矿罐干类红烟锁监楼应广语韩诉总满荐选"
+)
+# Words of emoji names that become Chinese words.
+EMOJI_IN_CHINESE = {
+    "party popper": "庆祝", "red heart": "爱", "blue heart": "爱", "green heart": "爱", "purple heart": "爱", "sparkling heart": "爱", "smiling face": "开心", "grinning face": "开心",
+    "face with tears of joy": "大笑", "loudly crying face": "难过", "thumbs up": "点赞", "clapping hands": "鼓掌", "fire": "火爆", "hundred points": "满分",
+}
+#: Emoji whose usual name isn't that of the Unicode data.
+EMOJI_NAMES = {"❤": "red heart", "👍": "thumbs up", "👎": "thumbs down", "👏": "clapping hands", "💯": "hundred points", "☺": "smiling face"}
+
+# Words that a line break of subtitles cuts in two, as head-rest: joined again where both parts stand side by side.
+CUT_WORDS = {
+    "en": """
+e-xperience e-xperiment e-xcitement e-xpression e-xplanation e-xcellent e-xecutive e-xercise e-xample t-echnology t-emperature t-ravel t-our s-ervice s-ystem
+a-utomation a-rtificial c-ustomer c-heck c-ompan i-nformation r-obot r-eception ex-perience ex-periment ex-citement ex-pression ex-planation ex-cellent ex-ecutive
+ex-ercise ex-ample te-chnology te-mperature in-formation ar-tificial cus-tomer ser-vice sys-tem ho-spitality ho-tel
+""",
+    "es": "e-xperiencia te-cnolog i-nformacion e-xcelente",
+}
+# Rests that are no words, as head-rest: the head comes back where the rest stands alone, with endings in some words.
+LOST_HEADS = {
+    "en": """
+exp-erience exp-erienced exp-eriences exp-eriencing ex-periment ex-periments ex-perimented ex-perimenting ex-citement ex-pression ex-pressions ex-planation ex-planations
+ex-cellent exe-cutive exe-cutives ex-ercise ex-ercises ex-ample ex-amples te-chnology te-chnologies te-chnological te-mperature te-mperatures a-utomation a-rtificial
+i-nformation r-eception r-eceptionist h-ospitality e-xperience e-xperienced e-xperiences e-xperiment e-xperiments e-xcitement e-xpression e-xpressions e-xplanation e-xplanations e-xcellent
+""",
+    "es": "e-xperiencia e-xperiencias te-cnologia te-cnologias e-xcelente",
+}
+# The same for lemmas, in addition.
+LOST_HEADS_OF_LEMMAS = {
+    "en": """
+ex-cited ex-citing ex-pressed ex-pressing ex-plained ex-plaining ex-cellence exe-cuted exe-cuting ex-ercised ex-ercising ex-amined ex-amining ex-amination ex-aminations a-utomated
+i-nformed i-nteresting i-nterest i-nteraction i-nteractions h-ospital c-ustom c-ustomer c-ustomers e-xperiencing e-xcited e-xciting e-xpressed e-xpressing e-xplained e-xplaining e-xcellence
+e-xecutive e-xecutives e-xercise e-xercises e-xample e-xamples t-echnology t-echnologies t-emperature t-emperatures c-ompanion c-ompanions c-omfortable c-omfort ex-perience ex-periences
+ex-perienced ex-periencing in-formation ar-tificial ho-spitality cu-stomer cu-stomers
+""",
+    "es": "e-xperimento e-xperimentos i-nformacion se-rvicio se-rvicios h-ospitalidad h-abitacion h-abitaciones",
+}
 
 
 def _text(c: Column | str) -> Column:
@@ -107,16 +147,54 @@ def simplify(c: Column | str, traditional: str = TRADITIONAL, simplified: str =
 
 
 def without_emoticons(c: Column | str, compat: bool = False) -> Column:
-    """Emoji and emoticons become spaces; ``compat`` uses the wide patterns, which also hit letters inside words."""
+    """Emoji and emoticons become spaces. Emoticons only count where they don't touch letters or digits; ``compat`` takes
+    them anywhere, faces too, which cuts letters out of words ("xp" of "experience", "-o" of "check-out")."""
     s = F.regexp_replace(_text(c), EMOJI, " ")
-    s = F.regexp_replace(s, EMOTICON_WIDE if compat else r"(?<![\p{L}\p{N}])" + EMOTICON + r"(?![\p{L}\p{N}])", " ")
+    s = F.regexp_replace(s, EMOTICON if compat else r"(?<![\p{L}\p{N}])" + EMOTICON + r"(?![\p{L}\p{N}])", " ")
     s = F.regexp_replace(F.regexp_replace(s, HEARTS, " "), CARETS, " ")
-    return F.regexp_replace(s, KAOMOJI_WIDE, " ") if compat else s
+    return F.regexp_replace(s, KAOMOJI, " ") if compat else s
+
+
+def _pairs(listed: str) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for word in listed.split():
+        head, rest = word.split("-")
+        out.setdefault(head, []).append(rest)
+    return out
+
+
+def rejoined(c: Column, language: str) -> Column:
+    """Words that subtitles cut in two or whose first letters were lost, put right; lower-case text without accents."""
+    for head, rests in _pairs(CUT_WORDS.get(language, "")).items():
+        c = F.regexp_replace(c, rf"\b{head}\s+((?:{'|'.join(rests)})\w*)\b", f"{head}$1")
+    for head, rests in _pairs(LOST_HEADS.get(language, "")).items():
+        c = F.regexp_replace(c, rf"\b({'|'.join(sorted(rests, key=len, reverse=True))})\b", f"{head}$1")
+    return c
+
+
+def lemma_cleaner(language: str):
+    """A function that brings a lemma into the form of the cleaned text: letters of the language only, lost heads put back."""
+    if language == "zh":
+        return lambda w: re.sub("[^\u4e00-\u9fff\u3400-\u4dbf]", "", w)
+    lost = {}
+    for listed in (LOST_HEADS, LOST_HEADS_OF_LEMMAS):
+        for head, rests in _pairs(listed.get(language, "")).items():
+            lost |= {rest: head + rest for rest in rests}
+    other = re.compile("[^a-zñ]+" if language == "es" else "[^a-z]+")
+
+    def one(word: str) -> str:
+        word = word.strip().lower()
+        if not word.isascii():
+            word = _accents(word, language == "es")
+        word = other.sub("", word)
+        return lost.get(word, word)
+
+    return one
 
 
 def clean(c: Column | str, language: str, compat: bool = False, to_simplified: bool = True) -> Column:
     """The academic cleaning of a raw text in ``en``, ``es`` or ``zh``: URLs, handles, hashtags, emoticons and digits go,
-    then all but the language's letters."""
+    then all but the language's letters; cut words are joined."""
     s = F.regexp_replace(_text(c), URL, " ")
     s = F.regexp_replace(F.regexp_replace(s, HANDLE, " "), r"#[^\s]+", " ")
     s = F.regexp_replace(without_emoticons(s, compat), r"\p{Nd}+", " ")
@@ -124,12 +202,14 @@ def clean(c: Column | str, language: str, compat: bool = False, to_simplified: b
         s = F.regexp_replace(simplify(s) if to_simplified else s, r"[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+", " ")
     else:
         s = F.regexp_replace(strip_accents(F.lower(s), language == "es"), "[^a-zñ]+" if language == "es" else "[^a-z]+", " ")
-    return _spaced(s)
+    return _spaced(s) if language == "zh" else rejoined(_spaced(s), language)
 
 
-def emoji_words(c: Column | str, names: dict[str, str] | None = None) -> Column:
-    """Emoji become their names in words: given ones first, then those of the Unicode data."""
-    names = names or {}
+def emoji_words(c: Column | str, names: dict[str, str] | None = None, words: dict[str, str] | None = None) -> Column:
+    """Emoji become their names in words: given ones first, then those of the Unicode data. Names of ``words`` become the words given
+    there, wherever they stand; without it those of ``EMOJI_IN_CHINESE``."""
+    names = EMOJI_NAMES | (names or {})
+    words = EMOJI_IN_CHINESE if words is None else words
 
     def word(ch: str) -> str:
         return names.get(ch) or unicodedata.name(ch, "").lower().replace("-", " ")
@@ -138,9 +218,55 @@ def emoji_words(c: Column | str, names: dict[str, str] | None = None) -> Column:
 
     @F.pandas_udf(T.StringType())
     def named(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t.isascii() else pattern.sub(lambda m: f" {word(m[0])} ", t), na_action="ignore")
+        return s.map(lambda t: t if t.isascii() else pattern.sub(lambda m: f" {word(m[0])} ", t.replace("\ufe0f", "")), na_action="ignore")
+
+    out = named(_text(c))
+    for name, other in words.items():
+        out = F.regexp_replace(out, rf"\b{name}\b", f" {other} ")
+    return _spaced(F.regexp_replace(out, r"\s{2,}", " "))
+
+
+def _western() -> tuple[dict[str, int], re.Pattern]:
+    byte = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0xA0)}
 
-    return named(_text(c))
+    def of(lo: int, hi: int) -> str:
+        return "[" + "".join(re.escape(ch) for ch, b in byte.items() if lo <= b <= hi) + "]"
+
+    more = of(0x80, 0xBF)
+    return byte, re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})+")
+
+
+_BYTE, _GARBLED = _western()
+#: What restored text may hold: letters of European languages, general punctuation, Chinese, emoji.
+_SOUND = re.compile("[\u00a0-\u017f\u2010-\u2044\u20a0-\u20bf\u2122\u3000-\u303f\u4e00-\u9fff\uff00-\uffef\u2600-\u27bf\ufe0f\U0001f000-\U0001faff]+")
+
+
+def ungarbled(text: str) -> str:
+    """UTF-8 that was read as the Western encoding, undone layer by layer; every layer makes the text shorter."""
+
+    def one(m: re.Match) -> str:
+        old = m[0]
+        try:
+            new = bytes(map(_BYTE.__getitem__, old)).decode()
+        except UnicodeDecodeError:
+            return old
+        closing = len(old) == 2 and old[0].isupper() and old[1] in "”’“»›" and m.string[m.start() - 1 : m.start()].isupper()
+        return old if closing or not (_SOUND.fullmatch(new) or _GARBLED.search(new)) else new
+
+    while (new := _GARBLED.sub(one, text)) != text:
+        text = new
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def _ungarbled(s: pd.Series) -> pd.Series:
+    return s.map(ungarbled, na_action="ignore")
+
+
+def fix_mojibake(c: Column | str) -> Column:
+    """Text whose UTF-8 was read as the Western encoding, put right; only texts that may need it leave the JVM."""
+    s = _text(c)
+    return F.coalesce(_ungarbled(F.when(s.rlike("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]"), s)), s)
 
 
 def compose(title: Column | str, content: Column | str) -> Column:

@@ -1,20 +1,26 @@
 """Corpus statistics and vocabulary filters over a tokenised collection.
 
 A collection is (doc_id, tokens array<string>); its long form is (doc_id, pos, token). Document frequencies explode the
-distinct tokens of each document, so that the map side already combines a token that occurs everywhere. Filters join the
-banned tokens, which are few, against the long form; ties are broken by the token.
+distinct tokens of each document, so that the map side already combines a token that occurs everywhere. Filters work inside
+the arrays; ties are broken by the token.
 
-Defined cases: null token arrays count as empty; documents with a repeated id are separate documents to the frequencies
-and one to the filters that rebuild arrays, which expect a unique key; empty collections give empty results.
+Defined cases: null token arrays count as empty; documents with a repeated id are separate documents; empty collections
+give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions import stopwords, text, tokens
-from topicloom.session import written
+from topicloom.functions import lexicon, stopwords, text, tokens
+from topicloom.operators.joins import lookup
+from topicloom.session import ship, written
 
 
 def preprocess_basic(df: DataFrame, key: str, column: str, language: str = "en", extra: list[str] | None = None) -> DataFrame:
@@ -23,19 +29,24 @@ def preprocess_basic(df: DataFrame, key: str, column: str, language: str = "en",
     return df.select(key, tokens.without(toks, sorted(set(stopwords.base(language)) | set(extra or []))).alias("tokens"))
 
 
-def preprocess(df: DataFrame, key: str, column: str, language: str = "en", extra: list[str] | None = None, least: int = 4, nouns_only: bool = False, emoji: bool = True, collocations: tuple[str, ...] = text.COLLOCATIONS) -> DataFrame:
-    """(key, tokens): the lite pipeline in its order: emoji, normalising, tokens, stop words, length, verb heuristic.
+def preprocess(df: DataFrame, key: str, column: str, language: str = "en", extra: list[str] | None = None, least: int = 4, nouns_only: bool = False, emoji: bool = True, collocations: tuple[str, ...] = text.COLLOCATIONS, mojibake: bool = True, repair: DataFrame | None = None) -> DataFrame:
+    """(key, tokens): the lite pipeline in its order: wrong encoding, emoji, normalising, tokens, spelling, stop words, length, verb
+    heuristic.
 
-    Extra stop words are normalised as the text is. Spelling repair needs a lexicon and is an operator of its own.
+    ``repair`` is the table (token, repaired) of ``lexicon.corrections``; without one no spelling is mended. Extra stop words are normalised as the text is.
     """
-    raw = text.emoji_words(column) if emoji else F.col(column)
+    raw = text.fix_mojibake(column) if mojibake else F.col(column)
+    raw = text.emoji_words(raw) if emoji else raw
     toks = tokens.tokenize(text.normalize(raw, collocations), language)
     more: list[str] = []
     if extra:
         got = df.sparkSession.createDataFrame([(w,) for w in extra], "w string").select(text.normalize("w", collocations).alias("w"))
         more = [r.w for r in got.collect() if r.w]
-    toks = tokens.at_least(tokens.without(toks, sorted(set(stopwords.base(language)) | set(more))), least)
-    return df.select(key, (tokens.nouns_and_adjectives(toks) if nouns_only and language != "zh" else toks).alias("tokens"))
+    rows = df.select(key, toks.alias("tokens"))
+    if repair is not None and language in ("en", "mixed"):
+        rows = lexicon.mend(rows, key, repair)
+    toks = tokens.at_least(tokens.without("tokens", sorted(set(stopwords.base(language)) | set(more))), least)
+    return rows.select(key, (tokens.nouns_and_adjectives(toks) if nouns_only and language != "zh" else toks).alias("tokens"))
 
 
 def document_frequency(df: DataFrame, column: str = "tokens") -> DataFrame:
@@ -56,11 +67,45 @@ def high_df_tokens(df: DataFrame, share: float = 0.8, column: str = "tokens") ->
     return counts.where(F.col("doc_count") >= total.scalar())
 
 
+#: Tokens of a filter that tasks hold; a longer list is joined.
+HELD_TOKENS = 500_000
+
+
 def keep_tokens(df: DataFrame, key: str, kept: DataFrame, how: str = "left_semi", column: str = "tokens") -> DataFrame:
-    """(key, tokens) with only the kept tokens, or with ``left_anti`` without them, in their order; emptied documents stay."""
-    long = df.select(key, F.posexplode(column).alias("pos", "token")).join(kept.select("token"), "token", how)
-    lists = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("l")).select(key, F.col("l.token").alias("tokens"))
-    return df.select(key).join(lists, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    """(key, tokens) with only the kept tokens, or with ``left_anti`` without them, in their order; emptied documents stay.
+
+    A list of up to ``HELD_TOKENS`` tokens goes to the tasks, which filter the arrays where they are. Beyond that tokens meet the list
+    by a join, and documents, told apart by row, are put together again.
+    """
+    kept = written(kept.select("token").distinct(), "kept")
+    got = [r.token for r in kept.limit(HELD_TOKENS + 1).collect()]
+    if len(got) > HELD_TOKENS:
+        return _kept_by_join(df, key, kept, how, column)
+    ship(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(got)
+    rows = df.select(F.col(key), F.coalesce(F.col(column), F.array().cast("array<string>")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(held.value, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten().cast(pa.string())
+            good = pc.is_in(values, words) if how == "left_semi" else pc.invert(pc.is_in(values, words))
+            before = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False))])
+            sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(before[sizes], pa.int32()), values.filter(good))], [key, "tokens"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _kept_by_join(df: DataFrame, key: str, kept: DataFrame, how: str, column: str) -> DataFrame:
+    rows = written(df.select(F.col(key), F.col(column).alias("tokens")).withColumn("__row", F.monotonically_increasing_id()), "unfiltered")
+    long = rows.select("__row", F.posexplode("tokens").alias("pos", "token"))
+    counts = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    table = written(counts.join(kept, "token", how), "kept")
+    lists = lookup(long, table, ["token"], "n").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("l"))
+    out = rows.select("__row", key).join(lists, "__row", "left")
+    return out.select(key, F.coalesce(F.col("l.token"), F.array().cast("array<string>")).alias("tokens"))
 
 
 def drop_high_df(df: DataFrame, key: str, share: float = 0.8, column: str = "tokens", guard: bool = False) -> DataFrame:
@@ -135,29 +180,3 @@ def unique_columns(df: DataFrame) -> DataFrame:
     for name, alias in zip(df.columns, names, strict=True):
         keep.setdefault(name, alias)
     return df.toDF(*names).select(*(F.col(a).alias(n) for n, a in keep.items()))
-
-
-PRESETS = {
-    "loose": {"min_token_len": 3, "max_token_len": 25, "pos_keep": ("NOUN", "PROPN", "ADJ", "VERB"), "df_no_below": 5, "df_no_above": 0.8},
-    "paper": {"min_token_len": 4, "max_token_len": 25, "pos_keep": ("NOUN", "PROPN", "ADJ"), "df_no_below": 10, "df_no_above": 0.6},
-}
-
-
-def preprocess_academic(df: DataFrame, key: str, column: str, language: str = "en", preset: str | dict = "paper", extra: list[str] | None = None, ngrams: bool = True, annotator=None, compat: bool = False) -> DataFrame:
-    """(key, tokens): clean, tag, length, part of speech, stop words, phrases, document frequency, in this order."""
-    from topicloom.functions import annotate
-    from topicloom.operators import phrases
-
-    p = PRESETS.get(preset, PRESETS["paper"]) if isinstance(preset, str) else {**PRESETS["paper"], **preset}
-    cleaned = df.select(key, text.clean(column, language, compat).alias("__clean"))
-    tagged = annotate.annotate(cleaned, "__clean", annotator or (lambda: annotate.rules(language)), "__tagged")
-    stop = stopwords.academic(language, extra)
-    lemma = F.transform(
-        F.filter("__tagged", lambda t: (F.length(t["lemma"]) >= p["min_token_len"]) & (F.length(t["lemma"]) <= p["max_token_len"]) & t["pos"].isin(*p["pos_keep"])) if language != "zh" else F.filter("__tagged", lambda t: t["pos"].isin(*p["pos_keep"])),
-        lambda t: t["lemma"],
-    )
-    # phrases and frequencies read the tokens several times, so the annotator's work is kept
-    out = written(tagged.select(key, tokens.without(lemma, stop).alias("tokens")), "lemmas")
-    if ngrams:
-        out = written(phrases.merge(out, key, phrases.learn(out, key, p.get("ngram_min_count", 5), p.get("ngram_threshold", 10.0))), "phrases")
-    return academic_filter(out, key, p["df_no_below"], p["df_no_above"])

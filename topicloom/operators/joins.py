@@ -9,6 +9,8 @@ Defined cases: a null key finds nothing; rows keep their repetitions; an empty t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,14 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), keys, how)
     others = [c for c in table.columns if c not in keys]
+    # a null key finds nothing, and as a join key it would send all its rows to one task
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    nothing = rows.where(~known).select(*rows.columns, *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in others))
+    rows = rows.where(known)
     hot = table.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *keys).limit(MOST_HOT)
     tagged = rows.join(F.broadcast(hot.select(*keys, F.struct(*others).alias("__hot"))), keys, "left")
     found = tagged.where("__hot is not null").select(*rows.columns, "__hot.*")
     cold = table.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     rest = tagged.where("__hot is null").drop("__hot").join(cold, keys, how)
-    return found.unionByName(rest.select(*rows.columns, *others))
+    out = found.unionByName(rest.select(*rows.columns, *others))
+    return out.unionByName(nothing) if how == "left" else out

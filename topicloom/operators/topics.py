@@ -118,39 +118,47 @@ def jaccard(words: DataFrame, n: int = 80) -> DataFrame:
     return rows.select("a", "b", F.round(value, 6).alias("jaccard"))
 
 
-# Naming rules: (suffix, words of which one must occur, words of which one must occur too), the first that holds wins.
+# Name suffixes and the words of which one must occur, with a second list of which one must occur too; the first that holds wins.
 RULES = [
-    ("Robot_Staff", ("robot", "robotic", "butler"), ("front", "desk", "delivery", "room")),
-    ("Capsule_Stay", ("capsule", "pod"), ()),
-    ("Airport_Transfer", ("airport", "shuttle", "flight"), ()),
-    ("Food_And_Breakfast", ("breakfast", "buffet", "coffee", "cafe"), ()),
-    ("Spa_And_Pool", ("spa", "pool", "rooftop"), ()),
-    ("Booking_And_Revenue", ("booking", "revenue", "price", "loyalty"), ()),
-    ("City_Walk", ("city", "walk", "tour", "museum"), ()),
+    ("Robot_vs_Human_Service_Jobs_Future", "robot robotic humanoid".split(), "human future machine job".split()),
+    ("B2B_HospitalityTech_SalesPitch_Solution", "technology hospitality industry solution communication system market".split(), []),
+    ("HotelSchool_Lecture_CRM_Ops_Training", "customer operation question datum model system instructor hotel".split(), []),
+    ("BookLaunch_Panel_AI_Future_of_Work", "book launch future industry business talent course development".split(), []),
+    ("Tokyo_Japan_Travel_Vlog", ["tokyo", "japan", "japanese", "station", "toilet", "tokyo tower", "yen"], []),
+    ("HennNa_Chain_Structured_Hotel_Review", "stay modern traveler perfect convenience comfort trip seamless luxury".split(), []),
+    ("Hotel_Room_Amenities_Breakfast_Review", "breakfast amenity facility option review great free convenient".split(), []),
+    ("Kagoshima_RobotFrontDesk_Dialogue_ServiceRants", "friend coffee order kagoshima name welcome ready bed correct".split(), []),
+    ("Orlando_Universal_Staycation_Lifestyle_Vlog", "universal orlando aventura food staycation cool stuff amazing little".split(), []),
+    ("NewsPanel_CigaretteTax_LasVegasAI_Hotel", ["news", "cigarette", "tax", "las vegas", "panel", "project", "criminologist", "door", "big"], []),
+    ("Podcast_Revenate_SEO_for_LLM_DirectBooking", ["podcast", "revenate", "seo", "llm", "direct booking", "cmo", "website", "drive", "traffic"], []),
 ]
 # Function words that tell a language among a topic's words.
 CLUES = {
-    "Spanish": "el la los las un una de del al en por para con sin que se su no y muy".split(),
-    "French": "le la les des un une du de en dans pour avec sur qui que pas est nous vous et".split(),
-    "German": "der die das den dem ein eine und oder nicht ist war mit von zu im auf wir".split(),
-    "Portuguese": "o os as um uma do da dos das em no na para com que se foi muito e".split(),
-    "Italian": "il lo gli la le un una di del della che non per con sono e".split(),
+    "Tagalog (Filipino)": "ayan ang tak yung dito ano kami tayo ito mga lang po sa ko ng na".split(),
+    "Spanish": "que los las nos del por con para como una mas pero muy esto esta este estos ser estar".split(),
+    "Italian": "che non una musica con qui pero era hai due del il lo anche sono cosa".split(),
+    "Afrikaans": "die nie dit daar het yan vir kan van baie dis hulle ons jy ek is was sal".split(),
+    "Malay/Indonesian": "yang dan kita kamu dia ini itu ya saya untuk dengan pada dari juga lebih sudah".split(),
 }
-DEFAULT_SUFFIX = "Mixed"
+DEFAULT_SUFFIX = "Mixed_Travel_Commentary"
 
 
 def named(topics: DataFrame, rules: list[tuple] | None = None, clues: dict[str, list[str]] | None = None) -> DataFrame:
-    """(topic_id, short_name, description) from (topic_id, words array): a language from 3 function words on, else English,
-    and the first rule that holds."""
-    clues, rules = clues or CLUES, RULES if rules is None else rules
+    """(topic_id, short_name, description) from (topic_id, words array): the language with the most function words, from 3 on, the
+    first on ties, else English; and the first rule that holds. Only the first 15 words count.
+
+    The description lists ten words, the languages found with their counts, and the suffix.
+    """
+    clues, rules = CLUES if clues is None else clues, RULES if rules is None else rules
     words = F.transform(F.slice("words", 1, 15), lambda w: F.lower(w))
 
     def hit(of: list[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*of)))
 
     hits = F.array(*(F.struct(hit(of).alias("h"), (-F.lit(i)).alias("i"), F.lit(name).alias("name")) for i, (name, of) in enumerate(clues.items())))
-    top = F.array_max(hits)
-    language = F.when(top["h"] >= 3, F.concat(F.lit("MULTI_"), top["name"])).otherwise("EN")
+    found = F.filter(hits, lambda x: x["h"] >= 3)
+    top = F.regexp_replace(F.array_max(found)["name"], " ", "")
+    language = F.when(F.size(found) > 0, F.concat(F.lit("MULTI_"), F.regexp_replace(top, r"[^\p{L}\p{N}]", "_"))).otherwise("EN")
     suffix: Column = F.lit(DEFAULT_SUFFIX)
     for name, one, two in reversed(rules):
         holds = F.arrays_overlap(words, F.array(*map(F.lit, one)))
@@ -158,7 +166,9 @@ def named(topics: DataFrame, rules: list[tuple] | None = None, clues: dict[str,
             holds = holds & F.arrays_overlap(words, F.array(*map(F.lit, two)))
         suffix = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(suffix)
     short = F.concat(F.lit("T"), F.lpad(F.col("topic_id").cast("string"), 2, "0"), F.lit("_"), language, F.lit("_"), suffix)
-    description = F.concat(F.lit("Top words: "), F.array_join(F.slice(words, 1, 10), ", "), F.lit("."))
+    listed = F.array_join(F.transform(found, lambda x: F.concat(F.lit("('"), x["name"], F.lit("', "), x["h"].cast("string"), F.lit(")"))), ", ")
+    signal = F.when(F.size(found) > 0, F.concat(F.lit(" Detected multilingual function-word signal: ["), listed, F.lit("]."))).otherwise("")
+    description = F.concat(F.lit("Top-10 words: "), F.array_join(F.slice(words, 1, 10), ", "), F.lit("."), signal, F.lit(" Auto-suffix label="), suffix, F.lit(". Review top-words + representative docs below to refine name."))
     return topics.select("topic_id", short.alias("short_name"), description.alias("description"))
 
 

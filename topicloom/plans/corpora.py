@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.functions import tokens
-from topicloom.operators import corpus, models, phrases
+from topicloom.functions import lexicon, tokens
+from topicloom.operators import academic, corpus, models, phrases
 from topicloom.plans import sql
-from topicloom.session import spread, table
+from topicloom.session import spread, table, written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,26 @@ def preprocess_report(spark, sf_dir):
 
 
 def preprocess_lite(spark, sf_dir):
-    return _joined(corpus.preprocess(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "mixed", ["Las Vegas", "Check-in"]))
+    """With the spelling mended by the frequent words of the collection itself."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    long = tokens.exploded(_docs(spark, sf_dir), "doc_id")
+    words = written(lexicon.zipf_table(long), "words")
+    fixed = lexicon.corrections(words, words, lexicon.spelling_index(words), 4.2)
+    return _joined(corpus.preprocess(docs, "doc_id", "text", "mixed", ["Las Vegas", "Check-in"], repair=fixed))
 
 
 def preprocess_academic(spark, sf_dir):
-    return _joined(corpus.preprocess_academic(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "en", "loose"))
+    got = academic.preprocess(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "en", "loose")
+    return _joined(got.tokens.withColumnRenamed("key", "doc_id"))
+
+
+def preprocess_for_lda(spark, sf_dir):
+    frame, _ = academic.preprocess_for_lda(spread(table(spark, sf_dir, "documents")), "loose")
+    return frame.select("doc_id", "__text_col_used", "text_preprocessed_academic_tokens", "text_preprocessed_academic_token_count")
+
+
+def preprocess_for_lda_report(spark, sf_dir):
+    return academic.preprocess_for_lda(spread(table(spark, sf_dir, "documents")), "paper", lang="en")[1]
 
 
 def bigram_counts(spark, sf_dir):
@@ -92,7 +107,7 @@ def phrase_merge_by_count(spark, sf_dir):
 
 
 def tfidf(spark, sf_dir):
-    return models.tfidf(_docs(spark, sf_dir), "doc_id", 300).withColumn("weight", F.round("weight", 6))
+    return models.tfidf(_docs(spark, sf_dir), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 _WORDS = ["minibar", "elevator", "robot", "breakfast", "spa", "lobby"]
@@ -112,7 +127,7 @@ def cooccur_windows(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_doc_freq, token_doc_freq_top, high_df_tokens, banned_tokens_head, drop_high_df, df_limits, df_filter_academic, filter_extremes, bag_of_words, preprocess_report, preprocess_lite, preprocess_academic, bigram_counts, neighbour_pairs, phrase_scores, phrase_merge, phrase_merge_by_count, tfidf, umass_pairs, cooccur_windows)
+    for f in (token_doc_freq, token_doc_freq_top, high_df_tokens, banned_tokens_head, drop_high_df, df_limits, df_filter_academic, filter_extremes, bag_of_words, preprocess_report, preprocess_lite, preprocess_academic, preprocess_for_lda, preprocess_for_lda_report, bigram_counts, neighbour_pairs, phrase_scores, phrase_merge, phrase_merge_by_count, tfidf, umass_pairs, cooccur_windows)
 }
 
 _T = sql.TOKENS
@@ -142,7 +157,7 @@ r AS (SELECT a, b, n, round((n - 5) * v.v / (x.k * y.k)::DOUBLE, 6) AS score FRO
 SELECT a, b, n, score FROM r WHERE score > 10""",
     "tfidf": _T + """, c AS (SELECT doc_id, token, count(*) AS n FROM l GROUP BY doc_id, token),
 s AS (SELECT token, count(*) AS df, sum(n) AS tf FROM c GROUP BY token), t AS (SELECT count(*) AS total FROM d),
-k AS (SELECT token, ln((1 + total) / (1 + df)) + 1 AS idf FROM s, t WHERE df >= 2 AND df <= total * 0.95 ORDER BY tf DESC, token LIMIT 300),
+k AS (SELECT token, ln((1 + total) / (1 + df)) + 1 AS idf FROM s, t WHERE df >= 2 AND df <= total * 0.95 ORDER BY tf DESC, token LIMIT 5000),
 w AS (SELECT doc_id, token, n * idf AS w FROM c JOIN k USING (token)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
 SELECT doc_id, token, round(w / norm, 6) AS weight FROM w JOIN z USING (doc_id)""",
     "umass_pairs": _T + _W + """, o AS (SELECT DISTINCT doc_id, token FROM l WHERE token IN (SELECT word FROM v)),

@@ -75,7 +75,7 @@ def build_analysis_text(spark, sf_dir):
 
 
 def snippet_260(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.snippet(F.regexp_replace("text", r"[^\x00-\x7f]", "?")).alias("snippet"))
+    return _docs(spark, sf_dir).select("doc_id", text.snippet("text").alias("snippet"))
 
 
 def abbreviate(spark, sf_dir):
@@ -124,6 +124,10 @@ def emoji_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.emoji_words("text").alias("named"))
 
 
+def fix_mojibake(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.fix_mojibake("text").alias("fixed"))
+
+
 def annotate(spark, sf_dir):
     cleaned = _docs(spark, sf_dir).select("doc_id", text.clean("text", "en").alias("c"))
     rows = tagging.annotate(cleaned, "c", lambda: tagging.rules("en"))
@@ -157,7 +161,7 @@ def merge_prefixes(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (normalize_basic, normalize_app, tokenize_en, tokenize_basic, tokenize_zh_ngrams, tokenize_mixed, token_len_filter, noun_adj_filter, stopword_filter, nonempty_docs, compose_title_content, build_analysis_text, snippet_260, abbreviate, short_hash, lang_detect_corpus, lang_detect_academic, text_column_pick, split_tokens, strip_accents, clean_en, clean_es, clean_zh, emoji_words, annotate, zipf, spell_index, lexicon_repair, merge_prefixes)
+    for f in (normalize_basic, normalize_app, tokenize_en, tokenize_basic, tokenize_zh_ngrams, tokenize_mixed, token_len_filter, noun_adj_filter, stopword_filter, nonempty_docs, compose_title_content, build_analysis_text, snippet_260, abbreviate, short_hash, lang_detect_corpus, lang_detect_academic, text_column_pick, split_tokens, strip_accents, clean_en, clean_es, clean_zh, fix_mojibake, emoji_words, annotate, zipf, spell_index, lexicon_repair, merge_prefixes)
 }
 
 _N = f"WITH n AS (SELECT doc_id, {sql.normalized('text')} AS norm FROM documents)\n"
@@ -188,14 +192,14 @@ SQL = {
     "nonempty_docs": sql.TOKENS + "SELECT doc_id, len(tokens)::BIGINT AS n FROM d WHERE len(tokens) > 0",
     "compose_title_content": _COMPOSED + f"SELECT row_id, {_COMPOSE} AS composed FROM p",
     "build_analysis_text": _COMPOSED + f"SELECT row_id, {_COMPOSE} AS analysis_text FROM p",
-    "snippet_260": r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '?', 'g'), '\s+', ' ', 'g')), 1, 260) AS snippet FROM documents",
+    "snippet_260": r"SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')), 1, 260) AS snippet FROM documents",
     "abbreviate": "SELECT topic_id, CASE WHEN length(s) > 32 THEN substr(s, 1, 31) || '…' ELSE s END AS short FROM (SELECT topic_id, coalesce(topic_description, '') AS s FROM topic_dictionary)",
     "short_hash": "SELECT doc_id, substr(md5(coalesce(text, '')), 1, 12) AS h, sha1(coalesce(text, '')) AS sha FROM documents",
     "lang_detect_corpus": _FIRST + r""", c AS (SELECT coalesce(sum(length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g'))), 0)::BIGINT AS cjk, coalesce(sum(length(regexp_replace(t, '[^A-Za-z]', '', 'g'))), 0)::BIGINT AS latin, sum(length(t)) AS chars FROM f)
 SELECT CASE WHEN chars = 0 THEN 'mixed' WHEN cjk > 0 AND latin = 0 THEN 'zh' WHEN latin > 0 AND cjk = 0 THEN 'en' WHEN cjk >= latin * 0.8 THEN 'zh' WHEN latin >= cjk * 0.8 THEN 'en' ELSE 'mixed' END AS language, cjk, latin FROM c""",
     "lang_detect_academic": _FIRST + r""", c AS (SELECT coalesce(sum(length(regexp_replace(t, '[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]', '', 'g'))), 0)::BIGINT AS cjk, coalesce(sum(length(regexp_replace(t, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[^\p{L}]', '', 'g'))), 0)::BIGINT AS other, coalesce(bool_or(regexp_matches(lower(t), '[ñ¿¡áéíóúü]')), false) AS spanish FROM f)
 SELECT CASE WHEN cjk > 0 AND cjk >= other THEN 'zh' WHEN spanish THEN 'es' ELSE 'en' END AS language, cjk, other, spanish FROM c""",
-    "text_column_pick": "SELECT 'text' AS picked",
+    "text_column_pick": "SELECT name AS picked FROM (SELECT unnest(['text', 'received_at_text']) AS name, unnest([coalesce(sum(length(text)), 0), -1]) AS total FROM raw_lines) ORDER BY total DESC LIMIT 1",
     "split_tokens": r"SELECT doc_id, max(len(regexp_extract_all(coalesce(text_preprocessed_academic_tokens, ''), '[^\s]+')))::BIGINT AS n FROM preprocessed GROUP BY doc_id",
     "zipf": _ZIPF + "SELECT token, n, zipf FROM x",
     "spell_index": _INDEX + "SELECT key, word, zipf FROM i",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators import corpus, evolution, models, topics
+from topicloom.plans import sql
 from topicloom.session import table
 
 
@@ -61,7 +62,7 @@ def representative_docs(spark, sf_dir):
 
 
 def argmax_assignment(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 12))
+    df = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     return topics.assignments(df, "vec_id", "v").withColumn("score", F.round("score", 6))
 
 
@@ -107,7 +108,7 @@ def cluster_centroids(spark, sf_dir):
 def cluster_top_terms(spark, sf_dir):
     docs = corpus.preprocess_basic(table(spark, sf_dir, "documents"), "doc_id", "text")
     kinds = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("doc_kind", F.lit("")).alias("topic_id"))
-    return models.cluster_terms(models.tfidf(docs, "doc_id", 300), kinds, "doc_id", 10).withColumn("weight", F.round("weight", 4))
+    return models.cluster_terms(models.tfidf(docs, "doc_id"), kinds, "doc_id", 10).withColumn("weight", F.round("weight", 4))
 
 
 def period_topic_counts(spark, sf_dir):
@@ -140,19 +141,18 @@ def sample_docs(spark, sf_dir):
     return models.sampled(table(spark, sf_dir, "docs_out").select("row_id"), "row_id")
 
 
-# a finished sweep, to show what is read off it
-_SWEEP = [(3, 886.6, 0.287), (4, 849.6, 0.275), (5, 847.8, 0.284), (6, 849.2, 0.305), (7, 848.2, 0.427), (8, 848.0, 0.401), (9, 849.0, 0.477), (10, 854.2, 0.432)]
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep as a table: K from the topic ids of the dictionary, with the numbers of documents and shares as its two curves."""
+    rows = table(spark, sf_dir, "topic_dictionary").where("num_docs_assigned is not null and pct_training_docs is not null")
+    return rows.select((F.col("topic_id") + 2).alias("K"), (F.col("num_docs_assigned") * 1.0).alias("perplexity"), (F.col("pct_training_docs") / 100.0 + F.col("topic_id") * 0.003).alias("coherence_cv"))
 
 
 def kneedle(spark, sf_dir):
-    got = models.turning_point([{"K": k, "perplexity": p, "coherence_cv": c} for k, p, c in _SWEEP])
-    row = {k: v for k, v in got.items() if k != "first_big_cv_jump_at_pair"} | dict(zip(("jump_from", "jump_to"), got["first_big_cv_jump_at_pair"], strict=True))
-    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} int" for k in row))
+    return models.turning_points(_sweep(spark, sf_dir))
 
 
 def best_grid_row(spark, sf_dir):
-    grid = spark.createDataFrame(_SWEEP, "K int, perplexity double, coherence_cv double")
-    return models.best_row(grid)
+    return models.best_row(_sweep(spark, sf_dir))
 
 
 QUERIES = {
@@ -167,9 +167,11 @@ def _naming() -> str:
     hits = ", ".join(f"struct_pack(h := len(list_filter(ws, lambda w: w IN ({quoted(c)}))), i := -{i}, name := '{name}')" for i, (name, c) in enumerate(topics.CLUES.items()))
     cases = " ".join(f"WHEN list_has_any(ws, [{quoted(list(one))}])" + (f" AND list_has_any(ws, [{quoted(list(two))}])" if two else "") + f" THEN '{name}'" for name, one, two in topics.RULES)
     return f""", s AS (SELECT topic_id, list_transform(words[1:15], lambda w: lower(w)) AS ws, words FROM w25),
-u AS (SELECT *, list_max([{hits}]) AS best FROM s),
-names AS (SELECT topic_id, 'T' || lpad(topic_id::VARCHAR, 2, '0') || '_' || CASE WHEN best.h >= 3 THEN 'MULTI_' || best.name ELSE 'EN' END || '_' || CASE {cases} ELSE '{topics.DEFAULT_SUFFIX}' END AS short_name,
- 'Top words: ' || array_to_string(ws[1:10], ', ') || '.' AS description FROM u)
+u AS (SELECT *, list_filter([{hits}], lambda x: x.h >= 3) AS found FROM s),
+x AS (SELECT *, CASE {cases} ELSE '{topics.DEFAULT_SUFFIX}' END AS suffix FROM u),
+names AS (SELECT topic_id, 'T' || lpad(topic_id::VARCHAR, 2, '0') || '_' || CASE WHEN len(found) > 0 THEN 'MULTI_' || regexp_replace(replace(list_max(found).name, ' ', ''), '[^a-zA-Z0-9]', '_', 'g') ELSE 'EN' END || '_' || suffix AS short_name,
+ 'Top-10 words: ' || array_to_string(ws[1:10], ', ') || '.' || CASE WHEN len(found) > 0 THEN ' Detected multilingual function-word signal: [' || array_to_string(list_transform(found, lambda f: '(' || chr(39) || f.name || chr(39) || ', ' || f.h || ')'), ', ') || '].' ELSE '' END
+ || ' Auto-suffix label=' || suffix || '. Review top-words + representative docs below to refine name.' AS description FROM x)
 """
 
 
@@ -189,7 +191,9 @@ g AS (SELECT x.period AS source_period, x.topic_id AS source_topic, y.period AS
  FROM f x JOIN f y ON y.ord = x.ord + 1),
 e AS (SELECT source_period, source_topic, target_period, target_topic, round(c * sim, 6) AS value FROM g WHERE sim >= 0.05 AND round(c * sim, 6) > 0)
 """
-_V = "(VALUES " + ", ".join(f"({k}, {p}::DOUBLE, {c}::DOUBLE)" for k, p, c in _SWEEP) + ") v(K, perplexity, coherence_cv)"
+_V = """WITH s AS (SELECT topic_id + 2 AS K, num_docs_assigned * 1.0::DOUBLE AS perplexity, pct_training_docs / 100.0::DOUBLE + topic_id * 0.003::DOUBLE AS coherence_cv FROM topic_dictionary
+ WHERE num_docs_assigned IS NOT NULL AND pct_training_docs IS NOT NULL)
+"""
 SQL = {
     "topic_doc_counts_dense": _A + _DENSE + "SELECT topic_id, n FROM e",
     "topic_pct": _C + "SELECT topic_id, n, round(100.0 * n / (SELECT sum(n) FROM c), 2)::DOUBLE AS pct FROM c",
@@ -200,7 +204,7 @@ SQL = {
     "topic_words_long": _RW + 'SELECT topic_id AS "Topic_ID", rank AS "Rank", word AS "Word", weight AS "Weight" FROM r WHERE rank <= 10',
     "normalized_weights": _RW + "SELECT topic_id, word, round(weight / sum(weight) OVER (PARTITION BY topic_id), 6) AS weight FROM r",
     "representative_docs": _A + "SELECT topic_id, rank, row_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, row_id))::INTEGER AS rank FROM a WHERE topic_id >= 0 AND score IS NOT NULL) WHERE rank <= 2",
-    "argmax_assignment": "SELECT vec_id, (list_position(v, list_max(v)) - 1)::INTEGER AS topic_id, round(list_max(v), 6) AS score FROM (SELECT vec_id, embedding[1:12]::DOUBLE[] AS v FROM embeddings)",
+    "argmax_assignment": "SELECT vec_id, (list_position(v, list_max(v)) - 1)::INTEGER AS topic_id, round(list_max(v), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
     "best_topic_of_word": _BEST + "SELECT word, topic_id, prob FROM b WHERE prob >= 0.01 ORDER BY prob DESC, word LIMIT 100",
     "label_top_words": _BEST + "SELECT word, topic_id, prob FROM b ORDER BY prob DESC, word LIMIT 20",
     "cosine_pairs": _RW + """, n AS (SELECT word, sqrt(sum(weight * weight)) AS norm FROM r GROUP BY word),
@@ -223,9 +227,15 @@ SELECT names.topic_id, short_name AS topic_short_name, coalesce(n, 0) AS num_doc
     "topic_evolution_nodes": _E + """, n AS (SELECT period, topic_id FROM q WHERE ord < (SELECT max(ord) FROM q) UNION SELECT target_period, target_topic FROM e)
 SELECT row_number() OVER (ORDER BY period, topic_id) - 1 AS id, period, topic_id, strftime(period, '%Y-%m') || ' · T' || (topic_id + 1) AS label FROM n""",
     "ordered_split": "SELECT row_id, row_number() OVER (ORDER BY row_id) <= greatest(5, floor(round(count(*) OVER () * 0.8, 9))) AS train FROM docs_out",
-    "kneedle": f"""WITH s AS (SELECT * FROM {_V}), e AS (SELECT min(K) AS k0, max(K) AS k1, arg_min(coherence_cv, K) AS c0, arg_max(coherence_cv, K) AS c1, arg_min(-perplexity, K) AS p0, arg_max(-perplexity, K) AS p1 FROM s),
+    "kneedle": _V + """, e AS (SELECT min(K) AS k0, max(K) AS k1, arg_min(coherence_cv, K) AS c0, arg_max(coherence_cv, K) AS c1, arg_min(-perplexity, K) AS p0, arg_max(-perplexity, K) AS p1 FROM s),
 d AS (SELECT s.*, coherence_cv - (c0 + (c1 - c0) / (k1 - k0) * (K - k0)) AS dc, -perplexity - (p0 + (p1 - p0) / (k1 - k0) * (K - k0)) AS dp, lead(coherence_cv) OVER (ORDER BY K) - coherence_cv AS jump, lead(K) OVER (ORDER BY K) AS nk FROM s, e),
 r AS (SELECT arg_max(K, dc) AS a, arg_max(K, dp) AS b, arg_max(K, coherence_cv) AS c, arg_min(K, perplexity) AS p, arg_max(K, jump) AS jf, arg_max(nk, jump) AS jt FROM d)
-SELECT a AS "cv_knee_K", b AS "perplexity_elbow_K", c AS "cv_best_K", p AS "perplexity_best_K", floor(list_aggregate(list_distinct([a, b, c]), 'median'))::INTEGER AS "recommended_K_composite", jf AS jump_from, jt AS jump_to FROM r""",
-    "best_grid_row": f"SELECT K, perplexity, coherence_cv FROM {_V} ORDER BY coherence_cv DESC, K LIMIT 1",
+SELECT a AS "cv_knee_K", b AS "perplexity_elbow_K", c AS "cv_best_K", p AS "perplexity_best_K", floor(list_aggregate(list_distinct(CASE WHEN len(list_filter([a, b, c], lambda k: k BETWEEN 4 AND 14)) > 0 THEN list_filter([a, b, c], lambda k: k BETWEEN 4 AND 14) ELSE [a, b, c] END), 'median'))::INTEGER AS "recommended_K_composite", jf AS jump_from, jt AS jump_to FROM r""",
+    "best_grid_row": _V + "SELECT K, perplexity, coherence_cv FROM s ORDER BY coherence_cv DESC, K LIMIT 1",
+    "cluster_top_terms": sql.TOKENS + """, c AS (SELECT doc_id, token, count(*) AS n FROM l GROUP BY doc_id, token),
+q AS (SELECT token, count(*) AS df, sum(n) AS tf FROM c GROUP BY token), t AS (SELECT count(*) AS total FROM d),
+k AS (SELECT token, ln((1 + total) / (1 + q.df)) + 1 AS idf FROM q, t WHERE q.df >= 2 AND q.df <= total * 0.95 ORDER BY tf DESC, token LIMIT 5000),
+w AS (SELECT doc_id, token, n * idf AS w FROM c JOIN k USING (token)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+y AS (SELECT coalesce(doc_kind, '') AS topic_id, token AS word, round(sum(w / norm), 6) AS weight FROM w JOIN z USING (doc_id) JOIN documents USING (doc_id) GROUP BY 1, 2)
+SELECT topic_id, rank, word, round(weight, 4) AS weight FROM (SELECT *, (row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, word))::INTEGER AS rank FROM y) WHERE rank <= 10""",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
-import unicodedata
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from topicloom.operators.corpus import unique_columns
 
 #: Bytes of a file that encoding and delimiter are judged by.
 SAMPLE_BYTES = 1 << 20
-_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
+_SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
 #: What Latin-1 reads as control characters stands for these in the Western encoding, which Spark's reader doesn't know.
 _CONTROLS, _WESTERN = zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), strict=True)
 
@@ -27,29 +27,41 @@ class ReadError(ValueError):
     """A table can't be read."""
 
 
+#: Byte order marks and what they announce.
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def decoded(raw: bytes) -> tuple[str, str]:
-    """(text, encoding): the candidate with the least damage; byte order marks decide first. Without a mark, two-byte
-    text is only tried where there are zero bytes, since nearly any bytes would do."""
-    order = ["utf-8", "utf-8-sig", *(["utf-16"] if b"\0" in raw else []), "cp1252", "latin1"]
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        order.insert(0, "utf-16")
-    elif raw[:3] == b"\xef\xbb\xbf":
-        order.insert(0, "utf-8-sig")
-    best: tuple[int, str, str] | None = None
-    for name in order:
+    """(text, encoding) from the form of the bytes.
+
+    A byte order mark decides. Without one, bytes that are sound UTF-8 are UTF-8, and bytes with a zero in every other
+    place or nearly so are two-byte text. All else is the Western single-byte encoding, or Latin-1 where a byte is undefined in that.
+    """
+    for mark, name in _MARKS:
+        if raw.startswith(mark):
+            try:
+                return raw.decode(name), name
+            except UnicodeDecodeError:
+                break  # the mark belongs to something else
+    try:
+        return raw.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        pass
+    halves = raw[0::2].count(0), raw[1::2].count(0)
+    if 2 * max(halves) > 0.4 * len(raw) and len(raw) % 2 == 0:
+        name = "utf-16-le" if halves[1] > halves[0] else "utf-16-be"
         try:
-            text = raw.decode(name)
-        except (UnicodeDecodeError, UnicodeError):
-            continue
-        odd = sum(unicodedata.category(ch) in ("Cc", "Cf") and ch not in "\n\t\r" for ch in text)
-        damage = 10 * text.count("�") + 2 * odd + 5 * text.count("ï»¿")
-        if best is None or damage < best[0]:
-            best = damage, text, name
-        if not damage:
-            break
-    if best is None:
-        raise ReadError("no encoding fits")
-    return best[1], best[2]
+            return raw.decode(name), name
+        except UnicodeDecodeError:
+            pass
+    # mostly UTF-8 with a few broken bytes is read as UTF-8 with marks for these
+    good = sum(len(m[0]) for m in _SEQUENCE.finditer(raw))
+    beyond = sum(b > 127 for b in raw)
+    if good > 0.8 * beyond:
+        return raw.decode("utf-8", "replace"), "utf-8"
+    name = "latin1" if any(b in raw for b in (b"\x81", b"\x8d", b"\x8f", b"\x90", b"\x9d")) else "cp1252"
+    return raw.decode(name), name
 
 
 def delimiter(text: str) -> str:
@@ -77,13 +89,20 @@ def _sample(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file or folder with a header; encoding and delimiter are found unless given."""
+def read_csv(spark: SparkSession, path: str, infer: bool = True, sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """A CSV file or folder with a header; encoding and delimiter are found unless given.
+
+    A file is only read as a whole, by one task, where it has to be: in two-byte encodings, and where quoted fields hold line
+    breaks, as told by ``multi_line`` or, if that is None, by all records of the file: one with an odd number of quotes continues.
+    """
     if sep is None or encoding is None:
         raw = _sample(spark, path)
         text, found = decoded(raw if len(raw) < SAMPLE_BYTES else raw[: raw.rfind(b"\n") + 1] or raw)
         sep, encoding = sep or delimiter(text), encoding or found
-    reader = spark.read.option("header", True).option("inferSchema", infer).option("multiLine", True).option("quote", '"').option("escape", '"')
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = encoding.startswith("utf-16") or not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    reader = spark.read.option("header", True).option("inferSchema", infer).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     df = unique_columns(reader.option("sep", sep).option("encoding", _SPARK_NAMES.get(encoding, encoding)).csv(path))
     if encoding != "cp1252":
         return df

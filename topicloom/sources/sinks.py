@@ -10,14 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators import topics
 from topicloom.sources.workbook import workbook
 
 #: Rows that a file made at the driver may have.
 MAX_ROWS = 1_048_575
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
-    """Any table, distributed: zstd parquet, CSV with a header, or JSON lines."""
+def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", mark: bool = False) -> None:
+    """Any table, distributed: zstd parquet, CSV with a header, or JSON lines. With ``mark`` every CSV file begins with the byte
+    order mark, for spreadsheet programs; its first column is then named with it."""
+    if mark and kind == "csv":
+        df = df.toDF(*(("\ufeff" if i == 0 else "") + c for i, c in enumerate(df.columns)))
     writer = df.write.mode(mode)
     if kind == "parquet":
         writer.option("compression", "zstd").parquet(path)
@@ -70,19 +74,36 @@ def write_summary(parts: dict[str, DataFrame | dict], path: str | Path) -> None:
     Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
 
 
-def write_all(folder: str | Path, dictionary: DataFrame, assigned: DataFrame, stats: DataFrame, k: int, sweep: DataFrame | None = None, turning: dict | None = None) -> dict[str, str]:
-    """All outputs of a run; each fails for itself into ``<kind>_error``. Documents go out distributed, the rest as files."""
+def top_words_grid(dictionary: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
+    """The table behind the grid of top words: topic_id, topic_short_name, n documents and their share, rank, word, weight."""
+    top = topics.top_words(words, n)
+    total = dictionary.agg(F.sum("num_docs_assigned").alias("total"))
+    rows = top.join(dictionary.select("topic_id", "topic_short_name", F.col("num_docs_assigned").alias("n")), "topic_id", "left")
+    share = F.when(total.scalar() > 0, F.round(F.col("n") / total.scalar(), 4)).otherwise(0.0)
+    return rows.select("topic_id", F.substring("topic_short_name", 1, 30).alias("topic_short_name"), "n", share.alias("share"), "rank", "word", "weight").orderBy("topic_id", "rank")
+
+
+def write_all(folder: str | Path, dictionary: DataFrame, assigned: DataFrame, stats: DataFrame, k: int, sweep: DataFrame | None = None, turning: dict | None = None, words: DataFrame | None = None) -> dict[str, str]:
+    """All outputs of a run; each fails for itself into ``<kind>_error``. Documents go out distributed, and as a sheet of the workbook
+    too where they fit into one; the rest are files made here."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
     small = {f"TopicDictionary_K{k}": dictionary, f"ModelStats_K{k}": stats} | ({"KSweep_Tuning": sweep} if sweep is not None else {})
+
+    def book(path: Path) -> None:
+        fits = assigned.limit(MAX_ROWS + 1).count() <= MAX_ROWS
+        write_workbook(({f"DocAssignments_K{k}": assigned} if fits else {}) | small, path)
+
     counts = dictionary.select("topic_id", "num_docs_assigned")
     jobs = {
-        "documents": (lambda p: write_table(assigned, str(p), "csv", "overwrite"), folder / f"doc_assignments_K{k}"),
-        "workbook": (lambda p: write_workbook(small, p), folder / f"topics_K{k}.xlsx"),
+        "documents": (lambda p: write_table(assigned, str(p), "csv", "overwrite", mark=True), folder / f"doc_assignments_K{k}"),
+        "workbook": (book, folder / f"topics_K{k}.xlsx"),
         "dictionary": (lambda p: write_csv_file(dictionary, p), folder / f"topic_dictionary_K{k}.csv"),
         "summary": (lambda p: write_summary({"topic_dictionary": dictionary, "model_stats": stats, "doc_counts_per_topic": counts, "turning_point_analysis": turning or {}} | ({"k_sweep": sweep} if sweep is not None else {}), p), folder / f"run_summary_K{k}.json"),
         "charts": (lambda p: write_csv_file(counts.orderBy(F.desc("num_docs_assigned"), "topic_id"), p), folder / f"doc_counts_K{k}.csv"),
     }
+    if words is not None:
+        jobs["salient"] = (lambda p: write_csv_file(top_words_grid(dictionary, words), p), folder / f"top5_words_K{k}.csv")
     out = {}
     for kind, (job, path) in jobs.items():
         try:
