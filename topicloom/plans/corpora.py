@@ -75,7 +75,7 @@ def preprocess_academic(spark, sf_dir):
 
 
 def preprocess_for_lda(spark, sf_dir):
-    frame, _ = academic.preprocess_for_lda(spread(table(spark, sf_dir, "documents")), "loose")
+    frame, _ = academic.preprocess_for_lda(spread(table(spark, sf_dir, "documents")), "loose", lang="en")
     return frame.select("doc_id", "__text_col_used", "text_preprocessed_academic_tokens", "text_preprocessed_academic_token_count")
 
 
@@ -166,4 +166,10 @@ SELECT 0 AS topic_id, a, b, (SELECT count(*) FROM o x JOIN o y USING (doc_id) WH
     "cooccur_windows": _T + _W + """, s AS (SELECT doc_id, unnest(range(1, greatest(1, len(tokens) - 19) + 1)) AS start FROM d WHERE len(tokens) > 0),
 h AS (SELECT DISTINCT s.doc_id, s.start, l.token FROM s JOIN l ON l.doc_id = s.doc_id AND l.pos >= s.start AND l.pos < s.start + 20 WHERE l.token IN (SELECT word FROM v))
 SELECT x.token AS a, y.token AS b, count(*) AS n FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.start = y.start AND x.token <= y.token GROUP BY x.token, y.token""",
+    "phrase_merge": _T + f""", {sql.scored("l", 5, 10.0, "p1")}, {sql.merged("l", "p1", "l1")}, {sql.scored("l1", 2, 6.0, "p2")}, {sql.merged("l1", "p2", "l2")}
+SELECT d.doc_id, coalesce(t.tokens, '') AS tokens FROM d LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM l2 GROUP BY doc_id) t USING (doc_id)""",
+    "phrase_merge_by_count": _T + _PAIRS + f""", p1 AS (SELECT a, b FROM q WHERE n >= 20), {sql.merged("l", "p1", "l1")}
+SELECT d.doc_id, coalesce(t.tokens, '') AS tokens FROM d LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM l1 GROUP BY doc_id) t USING (doc_id)""",
+    "preprocess_academic": sql.academic() + "SELECT doc_id, tokens FROM f",
+    "preprocess_for_lda": sql.academic() + "SELECT doc_id, 'text' AS __text_col_used, tokens AS text_preprocessed_academic_tokens, n AS text_preprocessed_academic_token_count FROM f",
 }

@@ -72,12 +72,20 @@ def _stream(spark: SparkSession, sf_dir: str, make) -> DataFrame:
 
 def stream_topic_counts(spark, sf_dir):
     """All windows of the events, the last ones too."""
-    return _stream(spark, sf_dir, lambda s: streams.topic_counts(s, "ts", "event_type", "1 day", "1 day"))
+    got = _stream(spark, sf_dir, lambda s: streams.topic_counts(s, "ts", "event_type", "1 day", "1 day"))
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_sessions(spark, sf_dir):
     """All sessions of the events, the last ones too."""
-    return _stream(spark, sf_dir, lambda s: streams.sessions(s, "ts", "user_id", "6 hours", "1 day"))
+    got = _stream(spark, sf_dir, lambda s: streams.sessions(s, "ts", "user_id", "6 hours", "1 day"))
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 QUERIES = {f.__name__: f for f in (lda_topics, lda_assignments, lite_cluster, lite_cluster_terms, k_sweep, tuning_grid, word_map, coherence, train_and_assign, stream_topic_counts, stream_sessions)}
+SQL = {
+    "stream_topic_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS topic_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "stream_sessions": """WITH a AS (SELECT user_id AS who, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY who ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT who, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS "end", count(*) AS n FROM b GROUP BY who, s""",
+}

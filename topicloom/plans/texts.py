@@ -209,4 +209,12 @@ SELECT token, repaired, n FROM r WHERE token <> repaired""",
 b AS (SELECT a.*, token IN ('sur', 'break', 'out', 'room') AND token || nx IN (SELECT token FROM l) AS hit FROM a),
 c AS (SELECT *, coalesce(lag(coalesce(hit, false)) OVER (PARTITION BY doc_id ORDER BY pos), false) AS eaten FROM b)
 SELECT doc_id, count(*) AS n FROM c WHERE NOT eaten GROUP BY doc_id""",
+    "strip_accents": f"SELECT doc_id, {sql.accents_stripped("coalesce(text, '')")} AS plain, {sql.accents_stripped("coalesce(text, '')", True)} AS with_enie FROM documents",
+    "clean_en": f"SELECT doc_id, {sql.cleaned('text', 'en')} AS cleaned FROM documents",
+    "clean_es": f"SELECT doc_id, {sql.cleaned('text', 'es')} AS cleaned FROM documents",
+    "clean_zh": f"SELECT doc_id, {sql.cleaned('text', 'zh')} AS cleaned FROM documents",
+    "annotate": f"WITH c AS (SELECT doc_id, {sql.cleaned('text', 'en')} AS clean FROM documents), {sql.tagged_english('c').replace('g AS (SELECT doc_id, pos, pos_tag, coalesce', 'g AS (SELECT doc_id, pos, pos_tag, raw_lemma, coalesce')} SELECT pos_tag AS pos, count(*) AS n, count(DISTINCT raw_lemma) AS lemmas FROM g GROUP BY pos_tag",
+    "normalize_app": f"""WITH n AS (SELECT doc_id, lower({sql.accents_stripped("regexp_replace(coalesce(text, ''), '[\\p{Cf}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g')")}) AS s FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'https?://[^\\s]+|www\\.[^\\s]+', ' ', 'g'), '@[\\p{{L}}\\p{{N}}_]+', ' ', 'g'), '#([\\p{{L}}\\p{{N}}_]+)', ' \\1 ', 'g'), '[\\r\\n\\t]+', ' ', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}} ]+', ' ', 'g'), ' {{2,}}', ' ', 'g')),
+ '\\blas\\s+vegas\\b', 'las_vegas', 'g'), '\\bcasa\\s+playa\\b', 'casa_playa', 'g') AS norm FROM n""",
 }

@@ -226,6 +226,7 @@ SELECT names.topic_id, short_name AS topic_short_name, coalesce(n, 0) AS num_doc
     "topic_evolution_edges": _E + "SELECT source_period, source_topic, target_period, target_topic, value FROM e",
     "topic_evolution_nodes": _E + """, n AS (SELECT period, topic_id FROM q WHERE ord < (SELECT max(ord) FROM q) UNION SELECT target_period, target_topic FROM e)
 SELECT row_number() OVER (ORDER BY period, topic_id) - 1 AS id, period, topic_id, strftime(period, '%Y-%m') || ' · T' || (topic_id + 1) AS label FROM n""",
+    "sample_docs": "SELECT row_id FROM docs_out ORDER BY md5('42|' || row_id), row_id LIMIT 800",
     "ordered_split": "SELECT row_id, row_number() OVER (ORDER BY row_id) <= greatest(5, floor(round(count(*) OVER () * 0.8, 9))) AS train FROM docs_out",
     "kneedle": _V + """, e AS (SELECT min(K) AS k0, max(K) AS k1, arg_min(coherence_cv, K) AS c0, arg_max(coherence_cv, K) AS c1, arg_min(-perplexity, K) AS p0, arg_max(-perplexity, K) AS p1 FROM s),
 d AS (SELECT s.*, coherence_cv - (c0 + (c1 - c0) / (k1 - k0) * (K - k0)) AS dc, -perplexity - (p0 + (p1 - p0) / (k1 - k0) * (K - k0)) AS dp, lead(coherence_cv) OVER (ORDER BY K) - coherence_cv AS jump, lead(K) OVER (ORDER BY K) AS nk FROM s, e),
