@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -163,19 +164,25 @@ def _columns(texts: pa.Array, form: Format) -> list[pa.Array] | None:
         return None
 
 
-def _parse(texts: pa.Array, form: Format | None, out: list, where: list[int]) -> None:
-    """Put (fields, reason, detail) of the records at ``where`` into ``out``, block by block."""
+def _lists(columns: list[pa.Array]) -> pa.Array:
+    """The rows of a block's columns as lists, without leaving Arrow."""
+    rows, width = len(columns[0]), len(columns)
+    order = np.arange(rows * width).reshape(width, rows).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width), pa.int32()), pa.concat_arrays(columns).take(pa.array(order)))
+
+
+def _parse(texts: pa.Array, form: Format | None) -> Iterator[tuple[int, pa.Array, list, list]]:
+    """(first record, fields, reasons, details) of the records, block by block."""
     todo = [(0, len(texts))]
     while todo:
         a, b = todo.pop()
         block = texts.slice(a, b - a)
         columns = _columns(block, form) if form is not None else None
         if columns is not None:
-            for k, values in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
-                out[where[a + k]] = (list(values), None, None)
+            yield a, _lists(columns), [None] * (b - a), [None] * (b - a)
         elif b - a <= SMALL or form is None:
-            for k, text in enumerate(block.to_pylist()):
-                out[where[a + k]] = diagnose(text, form)
+            found = [diagnose(text, form) for text in block.to_pylist()]
+            yield a, pa.array([f[0] for f in found], pa.list_(pa.string())), [f[1] for f in found], [f[2] for f in found]
         else:
             todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
 
@@ -193,13 +200,18 @@ def parse_records(lines: DataFrame, formats: list[Format], key: str = "line_id",
         for batch in batches:
             kinds = batch.column("f").to_pylist()
             texts = pc.replace_substring_regex(batch.column("t").cast(pa.string()), "\r$", "")
-            out: list = [None] * batch.num_rows
+            places, lists, reasons, details = [], [], [], []
             for kind in set(kinds):
-                where = [i for i, k in enumerate(kinds) if k == kind]
-                _parse(texts.take(pa.array(where, pa.int64())), by_id.get(kind), out, where)
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
+                where = np.flatnonzero([k == kind for k in kinds])
+                for first, fields_, reason, detail in _parse(texts.take(pa.array(where)), by_id.get(kind)):
+                    places.append(where[first : first + len(reason)])
+                    lists.append(fields_)
+                    reasons += reason
+                    details += detail
+            order = pa.array(np.argsort(np.concatenate(places)) if places else np.zeros(0, np.int64))
+            parsed = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("f").cast(pa.int32()), pa.array(columns[0], pa.list_(pa.string())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
+                [batch.column("k"), batch.column("f").cast(pa.int32()), parsed.take(order), pa.array(reasons, pa.string()).take(order), pa.array(details, pa.string()).take(order)],
                 [key, "format_id", "fields", "reason", "detail"],
             )
 
