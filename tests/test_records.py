@@ -36,5 +36,7 @@ def test_blocks_agree_with_the_strict_parser(texts):
 
     form = r.Format(1, ",", ("a", "b"), ("string", "double"))
     out = [None] * len(texts)
-    r._parse(pa.array(texts), form, out, list(range(len(texts))))
+    for first, fields, reasons, details in r._parse(pa.array(texts, pa.string()), form):
+        for k, found in enumerate(zip(fields.to_pylist(), reasons, details, strict=True)):
+            out[first + k] = found
     assert out == [r.diagnose(t, form) for t in texts]
