@@ -20,7 +20,7 @@ from topicloom.session import ship, written
 
 def zipf_table(tokens: DataFrame) -> DataFrame:
     """(token, n, zipf) over the long form of a collection."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("total"))
     return counts.select("token", "n", F.round(F.log10(F.col("n") * 1e9 / total.scalar()), 6).alias("zipf"))
 

@@ -34,7 +34,9 @@ def bigram_counts(df: DataFrame, key: str, least: int = 5, tokens: str = "tokens
 
 def scores(df: DataFrame, key: str, least: int = 5, threshold: float = 10.0, tokens: str = "tokens") -> DataFrame:
     """(a, b, n, score) above the threshold: (n - least) * |V| / (n_a * n_b), |V| the distinct tokens and pairs."""
-    pairs = adjacent(df, key, tokens).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    df = written(df.select(key, F.col(tokens).alias("tokens")), "tokens")  # read four times below
+    tokens = "tokens"
+    pairs = written(adjacent(df, key, tokens).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
     single = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     size = single.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
     rows = pairs.where(F.col("n") >= least).join(single.select(F.col("token").alias("a"), F.col("k").alias("na")), "a").join(single.select(F.col("token").alias("b"), F.col("k").alias("nb")), "b")
