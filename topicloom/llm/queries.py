@@ -144,7 +144,40 @@ c AS (SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS records F
 n AS (SELECT count(DISTINCT doc_id) AS n FROM t),
 m AS (SELECT token, occurrences, records, CASE WHEN records < 10 THEN 'rare' WHEN records >= ceil(round(0.6 * n, 9)) THEN 'common' END AS mark FROM c, n)
 """
+
+
+def _form(column: str) -> str:
+    """The visual form in SQL, for characters of the Latin, Greek, Cyrillic and Armenian blocks, punctuation, compatibility forms
+    and the stated look-alikes: single characters by translation, longer forms and invisible ones by replacing."""
+    blocks = [*range(0x80, 0x590), *range(0x1E00, 0x2190), *range(0x2C80, 0x2D00), *range(0x2E80, 0x3100), *range(0xFB00, 0xFB07), *range(0xFE00, 0xFE10), *range(0xFE50, 0x10000)]
+    chars = {chr(c) for c in blocks} | {ch for group in visual.LOOK_ALIKES.split() for ch in group[2:]}
+    table = {ch: rep for ch, rep in visual.unicode_patterns().items() if ch in chars}
+    one = {ch: rep for ch, rep in table.items() if len(rep) == 1}
+    quote = str.maketrans({"'": "''"})
+    s = f"regexp_replace(nfc_normalize({column}), '[\\x{{00AD}}\\x{{034F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    s = f"translate({s}, '{''.join(one).translate(quote)}', '{''.join(one.values()).translate(quote)}')"
+    for ch, rep in table.items():
+        # what Latin and Chinese text can hold of the longer forms
+        if len(rep) > 1 and ("\u00a0" <= ch <= "\u017f" or ch in "…™℠№℡ﬀﬁﬂﬃﬄﬅﬆ‥″‴⁇⁈⁉"):
+            s = f"replace({s}, '{ch}', '{rep.translate(quote)}')"
+    return f"nfc_normalize({s})"
+
+
+_LOOKS = f"""WITH t AS (SELECT 'documents' AS tab, doc_id AS rec_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'docs_out', row_id, analysis_text FROM docs_out),
+f AS (SELECT tab, rec_id, text, {_form("text")} AS form FROM t WHERE regexp_matches(text, '\\p{{L}}'))
+"""
+_GRAMS = f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower({_form("text")}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(lower({_form("text")}), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ig AS (SELECT DISTINCT id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+m AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g))
+"""
 SQL = {
+    "p3_found": _LOOKS + "SELECT a.tab, a.rec_id AS id_a, b.rec_id AS id_b FROM f a JOIN f b ON a.tab = b.tab AND a.form = b.form AND a.rec_id < b.rec_id AND a.text <> b.text",
+    "p3_classes": _LOOKS + """, c AS (SELECT tab, form, count(*) AS members, count(DISTINCT text) AS strings, min(rec_id) AS class_id FROM f GROUP BY tab, form HAVING count(DISTINCT text) > 1)
+SELECT tab, rec_id, class_id, members, strings FROM f JOIN c USING (tab, form)""",
+    "p8_found": _GRAMS + "SELECT doc_id, item_id FROM m",
+    "p8_clean": _GRAMS + "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m)",
     "p2_found": _GROUPS + "SELECT first AS row_id_a, row_id AS row_id_b FROM g WHERE row_id <> first",
     "p2_records": _GROUPS + "SELECT first AS row_id, count(*) AS copies FROM g GROUP BY first",
     "p6_found": _TOKENS + "SELECT token, mark FROM m WHERE mark IS NOT NULL",
