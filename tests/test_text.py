@@ -131,3 +131,22 @@ def test_lists():
     with pytest.raises(ValueError, match="two"):
         text.topic_numbers("5")
     assert text.signature({"b": 1, "a": 2}) == text.signature({"a": 2, "b": 1})
+
+
+def test_a_token_that_is_a_third_of_all(spark, monkeypatch):
+    from topicloom.operators import joins
+
+    long = spark.createDataFrame([(i, 0, "hote" if i % 3 == 0 else "hotel" if i % 3 == 1 else f"room{i % 7}") for i in range(300)] + [(i, 1, "s") for i in range(300)], "doc int, pos int, token string")
+    words = spark.createDataFrame([("hotel", 6.0), ("hote", 1.0)], "token string, zipf double")
+    index = lexicon.spelling_index(words)
+
+    def results():
+        fixed = lexicon.repaired(long, words, index, 2.5)
+        merged = lexicon.merge_prefixes(long, "doc", ["hote"], spark.createDataFrame([("hotes",)], "token string"))
+        return sorted(map(str, fixed.select("doc", "pos", "token", "repaired").collect())), sorted(map(str, merged.collect()))
+
+    want = results()
+    assert sum("repaired='hotel'" in r for r in want[0]) == 200 and sum("hotes" in r for r in want[1]) == 100 and len(want[1]) == 500
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    assert results() == want
