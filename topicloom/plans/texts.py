@@ -95,8 +95,9 @@ def lang_detect_academic(spark, sf_dir):
 
 
 def text_column_pick(spark, sf_dir):
-    df = table(spark, sf_dir, "raw_lines")
-    return df.sparkSession.createDataFrame([(corpus.text_column(df, ["none of these"]),)], "picked string")
+    """The longest of the string columns, since none has a preferred name."""
+    df = table(spark, sf_dir, "docs_out")
+    return spark.createDataFrame([(corpus.text_column(df, ["none of these"]),)], "picked string")
 
 
 def split_tokens(spark, sf_dir):
@@ -199,7 +200,8 @@ SQL = {
 SELECT CASE WHEN chars = 0 THEN 'mixed' WHEN cjk > 0 AND latin = 0 THEN 'zh' WHEN latin > 0 AND cjk = 0 THEN 'en' WHEN cjk >= latin * 0.8 THEN 'zh' WHEN latin >= cjk * 0.8 THEN 'en' ELSE 'mixed' END AS language, cjk, latin FROM c""",
     "lang_detect_academic": _FIRST + r""", c AS (SELECT coalesce(sum(length(regexp_replace(t, '[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]', '', 'g'))), 0)::BIGINT AS cjk, coalesce(sum(length(regexp_replace(t, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[^\p{L}]', '', 'g'))), 0)::BIGINT AS other, coalesce(bool_or(regexp_matches(lower(t), '[ñ¿¡áéíóúü]')), false) AS spanish FROM f)
 SELECT CASE WHEN cjk > 0 AND cjk >= other THEN 'zh' WHEN spanish THEN 'es' ELSE 'en' END AS language, cjk, other, spanish FROM c""",
-    "text_column_pick": "SELECT name AS picked FROM (SELECT unnest(['text', 'received_at_text']) AS name, unnest([coalesce(sum(length(text)), 0), -1]) AS total FROM raw_lines) ORDER BY total DESC LIMIT 1",
+    "text_column_pick": """SELECT name AS picked FROM (UNPIVOT (SELECT sum(length(video_id)) AS video_id, sum(length(channel)) AS channel, sum(length("Title")) AS "Title", sum(length(content)) AS content,
+ sum(length(analysis_text)) AS analysis_text, sum(length(lang)) AS lang, sum(length("Topic")) AS "Topic" FROM docs_out) ON COLUMNS(*) INTO NAME name VALUE total) ORDER BY total DESC LIMIT 1""",
     "split_tokens": r"SELECT doc_id, max(len(regexp_extract_all(coalesce(text_preprocessed_academic_tokens, ''), '[^\s]+')))::BIGINT AS n FROM preprocessed GROUP BY doc_id",
     "zipf": _ZIPF + "SELECT token, n, zipf FROM x",
     "spell_index": _INDEX + "SELECT key, word, zipf FROM i",
